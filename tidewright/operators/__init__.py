@@ -1,0 +1 @@
+"""operators of the review-signal analytics engine."""

@@ -1,0 +1 @@
+"""plans of the review-signal analytics engine."""

@@ -1,0 +1 @@
+"""sources of the review-signal analytics engine."""

@@ -1,0 +1 @@
+"""streaming of the review-signal analytics engine."""
