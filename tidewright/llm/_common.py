@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,3 +50,34 @@ def split_remainder(doc_id: str | Column, modulus: int) -> Column:
 def deterministic_fraction(col: Column, fraction: float) -> Column:
     """True for about `fraction` of the values, the same ones in each run."""
     return F.pmod(F.xxhash64(col, F.lit("sample")), F.lit(1 << 30)) < int(fraction * (1 << 30))
+
+
+class Bitmap:
+    """Which hash values may occur, in 2 ** bits bits whatever their number: a filter before an exact join."""
+
+    def __init__(self, bits: int = 23) -> None:
+        self.mask, self.bytes = np.uint64((1 << bits) - 1), np.zeros(1 << (bits - 3), np.uint8)
+
+    def place(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = hashes & self.mask
+        return (x >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (x & np.uint64(7)).astype(np.uint8)).astype(np.uint8)
+
+    def may_hold(self, hashes: np.ndarray) -> np.ndarray:
+        slot, bit = self.place(hashes)
+        return (self.bytes[slot] & bit) != 0
+
+
+def bitmap_of(df: DataFrame, col: str, bits: int = 23) -> Bitmap:
+    """Bitmap of the values of a long column; folded in the tasks, so at most 2 ** (bits - 3) slots reach the driver."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Bitmap(bits)
+        for b in batches:
+            np.bitwise_or.at(own.bytes, *own.place(b.column(0).to_numpy().view(np.uint64)))
+        used = np.flatnonzero(own.bytes)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(own.bytes[used].astype(np.int64))], names=["slot", "bits"])
+
+    got = df.select(F.col(col).cast("long").alias("h")).dropna().mapInArrow(fold, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = Bitmap(bits)
+    out.bytes[got.column("slot").to_numpy()] = got.column("bits").to_numpy().astype(np.uint8)
+    return out

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm._common import documents, written
+from tidewright.llm._common import bitmap_of, documents, written
 
 #: Words read as units.
 UNITS = frozenset(
@@ -28,8 +28,6 @@ UNITS = frozenset(
 _EDGES = bytes(i for i in range(33, 127) if not bytes([i]).isalnum())
 _NUMBER, _UNIT, _NAME = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (b"<number>", b"<unit>", b"<name>"))
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
-#: The bitmap of benchmark windows has a fixed size, whatever the benchmark.
-_BITMAP_BITS = 23
 
 
 class Templates:
@@ -99,8 +97,7 @@ def _windows(rows: DataFrame, sizes: list[int] | None, window: int, bitmap) -> D
                 for size in sizes or [min(window, max(1, len(template)))]:
                     h, ok = window_hashes(template, filler, size)
                     if bitmap is not None and len(h):
-                        x = h & np.uint64((1 << _BITMAP_BITS) - 1)
-                        ok &= (bitmap.value[x >> np.uint64(3)] >> (x & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                        ok &= bitmap.value.may_hold(h)
                     pos = np.flatnonzero(ok)
                     fillers = [(np.flatnonzero(filler[p : p + size]) << 56 | (literal[p : p + size][filler[p : p + size]] >> np.uint64(8)).astype(np.int64)).tolist() for p in pos.tolist()]
                     for col, new in zip(out, ([ident] * len(pos), pos.tolist(), [size] * len(pos), [len(template)] * len(pos), h[pos].view(np.int64).tolist(), fillers), strict=True):
@@ -121,18 +118,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_coverage
     spark = docs.sparkSession
     items = written(_windows(benchmark.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text")), None, window, None).filter("n_words > 0 AND id IS NOT NULL").distinct())
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << (_BITMAP_BITS - 3), np.uint8)
-        for b in batches:
-            x = b.column(0).to_numpy().view(np.uint64) & np.uint64((1 << _BITMAP_BITS) - 1)
-            np.bitwise_or.at(bits, (x >> np.uint64(3)).astype(np.int64), (1 << (x & np.uint64(7))).astype(np.uint8))
-        used = np.flatnonzero(bits)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(bits[used].astype(np.int64))], names=["slot", "bits"])
-
     sizes = [r["size"] for r in items.select("size").distinct().collect()]  # `window` values at most
-    got = items.select("hash").mapInArrow(fold, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
-    bitmap = np.zeros(1 << (_BITMAP_BITS - 3), np.uint8)
-    bitmap[got.column("slot").to_numpy()] = got.column("bits").to_numpy().astype(np.uint8)
+    bitmap = bitmap_of(items, "hash")
     found = _windows(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text")), sizes, window, spark.sparkContext.broadcast(bitmap))
     found = found.filter("id IS NOT NULL").select(F.col("id").alias("doc_id"), F.col("pos").alias("doc_pos"), "size", "hash", F.col("fillers").alias("doc_fillers"))
     met = found.join(items.select(F.col("id").alias("item_id"), "pos", "size", "hash", "n_words", "fillers"), ["hash", "size"])

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewright.llm.decontamination import op6_decontamination
+from tidewright.llm.line_dedup import op5_line_dedup
 from tidewright.llm.packing import op8_packing
 from tidewright.llm.simhash import op1_simhash
 from tidewright.llm.toxicity import op9_toxicity
@@ -17,6 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
+        "op5_line_dedup": op5_line_dedup,
         "op6_decontamination": op6_decontamination,
         "op8_packing": op8_packing,
         "op9_toxicity": op9_toxicity,

@@ -83,16 +83,13 @@ class _Forest:
         return self.lab[i] != self.lab[j]
 
 
-def _alike(sketch: np.ndarray | None, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
-    """Whether the minwise sketches agree often enough; 8-bit values agree by chance once in 256."""
-    if sketch is None or not len(i):
-        return np.ones(len(i), bool)
-    same = np.concatenate([(sketch[i[s : s + 65536]] == sketch[j[s : s + 65536]]).mean(axis=1) for s in range(0, len(i), 65536)])
-    return (same - 1 / 256) / (1 - 1 / 256) >= least
+def _likeness(sketch: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Similarity by minwise sketches; their 8-bit values agree by chance once in 256."""
+    return ((sketch[i] == sketch[j]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
 
 
 def _join_close(forest: _Forest, fp: np.ndarray, sketch: np.ndarray | None, i: np.ndarray, j: np.ndarray, radius: int, least: float) -> None:
-    """Join the pairs (i, j) that are close; in slices, so that pairs already connected are not looked at twice."""
+    """Join the pairs (i, j) that are close, the most alike first; in slices, so that pairs already connected are not looked at twice."""
     for s in range(0, len(i), 1 << 15):
         a, b = i[s : s + (1 << 15)], j[s : s + (1 << 15)]
         near = np.bitwise_count(fp[a] ^ fp[b]) <= radius
@@ -100,9 +97,13 @@ def _join_close(forest: _Forest, fp: np.ndarray, sketch: np.ndarray | None, i: n
         if len(a):
             new = forest.apart(a, b)
             a, b = a[new], b[new]
-            ok = _alike(sketch, a, b, least)
-            if ok.any():
-                forest.join(a[ok], b[ok])
+            if sketch is not None and len(a):
+                like = _likeness(sketch, a, b)
+                order = np.argsort(-like, kind="stable")
+                order = order[like[order] >= least]
+                a, b = a[order], b[order]
+            if len(a):
+                forest.join(a, b)
 
 
 def _rotated(fp: str, blocks: int, table: int = 0) -> list:
