@@ -13,6 +13,7 @@ from tidewright.llm.line_dedup import op5_line_dedup
 from tidewright.llm.packing import op8_packing
 from tidewright.llm.quality import op2_quality
 from tidewright.llm.quality_rules import op4_quality_rules
+from tidewright.llm.repeats import op7_suffix_dedup
 from tidewright.llm.simhash import op1_simhash
 from tidewright.llm.toxicity import op9_toxicity
 
@@ -27,6 +28,7 @@ def queries() -> dict[str, Query]:
         "op4_quality_rules": op4_quality_rules,
         "op5_line_dedup": op5_line_dedup,
         "op6_decontamination": op6_decontamination,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_packing": op8_packing,
         "op9_toxicity": op9_toxicity,
         "op10_license_scan": op10_license_scan,
