@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewright.plans import core_queries
+from tidewright.plans.tables import duck
+
 Query = Callable[[SparkSession, str], DataFrame]
+_ALL = {**core_queries.QUERIES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return core_queries.flagship(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for name, (query, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: duck(sql) for name, (_, sql) in _ALL.items() if sql}
