@@ -9,12 +9,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-@F.pandas_udf("string")
-def nfc(texts: pd.Series) -> pd.Series:
-    """Unicode composition; Spark has no function for it."""
+def _compose(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
+def nfc(c: Column) -> Column:
+    """Unicode composition; Spark has no function for it."""
+    return F.pandas_udf(_compose, "string")(c)
+
+
 def normalized(c: Column | str, compose: bool = False) -> Column:
     """Lower case, outer space off, inner space single; NFC too if asked for."""
     c = F.col(c) if isinstance(c, str) else c

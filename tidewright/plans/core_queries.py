@@ -10,7 +10,8 @@ from tidewright.operators import profiles as P
 from tidewright.operators import similarity as S
 from tidewright.plans import tables as T
 
-NOW = F.expr(T.NOW)
+def now():
+    return F.expr(T.NOW)
 
 
 def signals(spark: SparkSession, d: str) -> DataFrame:
@@ -18,7 +19,7 @@ def signals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def aggregates(spark: SparkSession, d: str) -> DataFrame:
-    return A.product_signals(signals(spark, d), NOW)
+    return A.product_signals(signals(spark, d), now())
 
 
 _AGG = f"""
@@ -43,7 +44,7 @@ def product_signals(spark, d):
 
 def dirty_signals(spark, d):
     dirty = T.from_sql(spark, d, "SELECT CAST(p_partkey AS STRING) AS id FROM part WHERE p_size < 5")
-    return A.product_signals(signals(spark, d), NOW, dirty).drop("evidence_sample")
+    return A.product_signals(signals(spark, d), now(), dirty).drop("evidence_sample")
 
 
 def flagship(spark, d):
@@ -68,7 +69,7 @@ def evidence_ranks(spark, d):
 
 
 def user_preferences(spark, d):
-    return A.user_preferences(T.from_sql(spark, d, T.PREFERENCES), F.to_date(NOW))
+    return A.user_preferences(T.from_sql(spark, d, T.PREFERENCES), F.to_date(now()))
 
 
 def first_preferences(spark, d):
@@ -76,7 +77,7 @@ def first_preferences(spark, d):
 
 
 def user_profiles(spark, d):
-    prefs = A.user_preferences(T.from_sql(spark, d, T.PREFERENCES), F.to_date(NOW))
+    prefs = A.user_preferences(T.from_sql(spark, d, T.PREFERENCES), F.to_date(now()))
     out = P.user_profiles(T.from_sql(spark, d, "SELECT c_custkey AS user_id FROM customer"), prefs, ["PREFERS", "AVOIDS"], 5)
     return out.select("user_id", F.size("prefers").alias("n_prefers"), F.size("avoids").alias("n_avoids"), F.array_join(F.transform("prefers", lambda x: x["id"]), " ").alias("prefers"))
 
