@@ -11,7 +11,11 @@ further window. A full block holds exactly its windows' tokens, so only the last
 from __future__ import annotations
 
 import heapq
+import re
+import sys
+import types
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,52 +28,79 @@ from tidewright.llm._common import documents
 BLOCK_WINDOWS = 64
 
 
-class WordTokenizer:
-    """Ids of whole texts; each distinct stretch without white space is encoded once by the library and then looked up.
+#: The words of this tokenizer after its normaliser, for Latin letters up to U+017F.
+_LATIN = "a-z\u00df-\u00f6\u00f8-\u017f"
+_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[^{_LATIN}0-9]+")
+_PLAIN = re.compile("[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if visible, else one from U+0100 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+class WordTokenizer(dict):
+    """Ids of whole texts; maps each distinct stretch without white space to a number, learning it when first met.
 
     This tokenizer drops white space and neither normalises nor merges across it, so the ids of a text are those of
-    its stretches, special tokens included.
+    its stretches. Stretches of visible ASCII and Latin letters are lower-cased and split here, and the library's model
+    encodes each new word; all other stretches go through the library as they are, special tokens included.
     """
 
-    def __init__(self, path: str, most_words: int = 1_000_000) -> None:
+    def __init__(self, path: str, most_words: int = 500_000) -> None:
         from tokenizers import Tokenizer
 
-        self.library, self.most = Tokenizer.from_file(path), most_words
-        self._reset()
-
-    def _reset(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.flat, self.start, self.size = np.zeros(1 << 16, np.uint16), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.used = 0
-
-    def _learn(self, words: list[bytes]) -> None:
-        encoded = [e.ids for e in self.library.encode_batch_fast([w.decode(errors="replace") for w in words], add_special_tokens=False)]
-        sizes = np.array([len(e) for e in encoded], np.int64)
-        n, more = len(self.number), int(sizes.sum())
-        while n + len(words) > len(self.start):
-            self.start, self.size = np.r_[self.start, np.zeros_like(self.start)], np.r_[self.size, np.zeros_like(self.size)]
-        while self.used + more > len(self.flat):
-            self.flat = np.r_[self.flat, np.zeros_like(self.flat)]
-        self.size[n : n + len(words)] = sizes
-        self.start[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
-        self.flat[self.used : self.used + more] = [i for e in encoded for i in e]
-        self.used += more
-        self.number.update(zip(words, range(n, n + len(words)), strict=True))
+        super().__init__()
+        self.library, self.most, self.letters = Tokenizer.from_file(path), most_words, _byte_letters()
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.flat, self.start, self.size = array("H"), array("q"), array("q")
+
+    def _word(self, word: str) -> tuple[int, ...]:
+        ids = self.words.get(word)
+        if ids is None:
+            spelled = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+            ids = self.words[word] = tuple(t.id for t in self.library.model.tokenize(spelled))
+        return ids
+
+    def __missing__(self, stretch: bytes) -> int:
+        text = stretch.decode(errors="replace")
+        if _PLAIN.fullmatch(text) and "<|" not in text:
+            ids = [i for w in _WORDS.findall(text.lower()) for i in self._word(w)]
+        else:
+            ids = self.library.encode(text, add_special_tokens=False).ids
+        n = self[stretch] = len(self.start)
+        self.start.append(len(self.flat))
+        self.size.append(len(ids))
+        self.flat.extend(ids)
+        return n
 
     def encode(self, text: bytes) -> np.ndarray:
-        """Ids of one text as uint32. The table of words starts anew when it has `most` words."""
+        """Ids of one text as uint32. The table starts anew when it has `most` stretches."""
+        if len(self) > self.most:
+            self.forget()
         words = text.split()
-        if len(self.number) > self.most:
-            self._reset()
-        number = self.number
-        new = [w for w in dict.fromkeys(words) if w not in number]
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-        size = self.size[at]
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        size = np.frombuffer(self.size, np.int64)[at] if len(at) else at
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
-        return self.flat[np.repeat(self.start[at] - (ends - size), size) + np.arange(total)].astype(np.uint32)
+        if not total:
+            return np.zeros(0, np.uint32)
+        start = np.frombuffer(self.start, np.int64)[at]
+        return np.frombuffer(self.flat, np.uint16)[np.repeat(start - (ends - size), size) + np.arange(total)].astype(np.uint32)
+
+
+def _tokenizer(path: str) -> WordTokenizer:
+    """One per worker process: workers serve several tasks, and later ones find most words known."""
+    known = sys.modules.setdefault("_tidewright_tokenizers", types.ModuleType("_tidewright_tokenizers")).__dict__
+    if path not in known:
+        known[path] = WordTokenizer(path)
+    return known[path]
 
 
 def largest_differencing(sizes: list[int], ways: int) -> list[list[int]]:
@@ -142,7 +173,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tokenizer, base = WordTokenizer(tokenizer_path), TaskContext.get().partitionId() << 40
+        tokenizer, base = _tokenizer(tokenizer_path), TaskContext.get().partitionId() << 40
         ids: dict[int, np.ndarray] = {}  # of documents with a piece that is not placed yet
         names: dict[int, int | None] = {}
         items: list[tuple[int, int, int]] = []
