@@ -119,7 +119,7 @@ def score(met: DataFrame, products: DataFrame, owned: DataFrame, weights: dict[s
     raw = sum((F.col(f"f_{a}") * w[a] for a in CAPPED), F.lit(0.0))
     raw = raw + w["freshness"] * freshness(F.col("review_count_30d")) + w["popularity"] * popularity(F.col("review_count_all")) + w["rating"] * rating_over_four(F.col("rating"))
     raw = raw + w["novelty"] * F.when(own, 0.0).when(F.coalesce("_known", F.lit(False)), 0.5).otherwise(1.0) - w["owned"] * own.cast("double")
-    return rows.withColumn("raw_score", F.round(raw, 6)).select("user_id", "product_id", "brand_id", *[c for c in ("category_id",) if c in products.columns], "raw_score", F.round(F.col("raw_score") * shrinkage(F.col("review_count_all")), 6).alias("final_score"))
+    return rows.withColumn("raw_score", F.round(raw, 9)).select("user_id", "product_id", "brand_id", *[c for c in ("category_id",) if c in products.columns], "raw_score", F.round(F.col("raw_score") * shrinkage(F.col("review_count_all")), 9).alias("final_score"))
 
 
 def greedy_diversity(rows: list[tuple], weight: float, k: int) -> list[tuple[int, float]]:
