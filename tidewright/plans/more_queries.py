@@ -164,7 +164,7 @@ def scored(spark, d):
 
 
 def scored_candidates(spark, d):
-    return scored(spark, d).select("user_id", "product_id", F.round("raw_score", 5).alias("raw_score"), F.round("final_score", 5).alias("final_score"))
+    return scored(spark, d).select("user_id", "product_id", F.round("raw_score", 9).alias("raw_score"), F.round("final_score", 9).alias("final_score"))
 
 
 def reranked(spark, d):
@@ -394,7 +394,7 @@ g AS (SELECT user_id, product_id, least(coalesce(sum(strength) FILTER (axis = 'k
 o AS ({_OWNED}), x AS (SELECT g.user_id, g.product_id, review_count_all AS n, f + 0.04 * CASE WHEN review_count_30d > 10 THEN 1 WHEN review_count_30d > 3 THEN 0.6 WHEN review_count_30d > 0 THEN 0.3 ELSE 0 END + 0.03 * least(ln(1 + review_count_all) / ln(1001), 1) + 0.02 * greatest(0, least(1, rating - 4))
  + 0.02 * CASE WHEN own.product_id IS NOT NULL THEN 0 WHEN kb.brand_id IS NOT NULL THEN 0.5 ELSE 1 END - 0.05 * CASE WHEN own.product_id IS NOT NULL THEN 1 ELSE 0 END AS raw
  FROM g JOIN ({_SHOP}) p USING (product_id) LEFT JOIN (SELECT DISTINCT user_id, product_id FROM o) own ON own.user_id = g.user_id AND own.product_id = g.product_id LEFT JOIN (SELECT DISTINCT user_id, brand_id FROM o) kb ON kb.user_id = g.user_id AND kb.brand_id = p.brand_id)
-SELECT user_id, product_id, round(CAST(raw AS DOUBLE), 5) AS raw_score, round(round(CAST(raw AS DOUBLE), 9) * CASE WHEN n > 0 THEN n / (n + 10) ELSE 0.1 END, 5) AS final_score FROM x"""
+SELECT user_id, product_id, round(CAST(raw AS DOUBLE), 9) AS raw_score, round(round(CAST(raw AS DOUBLE), 9) * CASE WHEN n > 0 THEN n / (n + 10) ELSE 0.1 END, 9) AS final_score FROM x"""
 
 QUERIES = {
     "text_normalized": (text_normalized, "SELECT doc_id, md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS digest FROM documents"),
