@@ -136,7 +136,7 @@ def _find_stretches(docs: DataFrame, length: int) -> DataFrame:
                     texts.append(text)
                     ids.append(ident)
                     size += len(text)
-            if sum(len(h[0]) for h in held) > 4_000_000:
+            if sum(len(h[0]) for h in held) > 1_500_000:
                 yield from out()
         if texts:
             take()
@@ -200,7 +200,7 @@ def _runs(doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return doc[at], pos[at], np.diff(np.r_[at, len(doc)])
 
 
-def _merge_shards(pieces: DataFrame, length: int, shard_bytes: int = 8 << 20) -> DataFrame:
+def _merge_shards(pieces: DataFrame, length: int, shard_bytes: int = 1 << 20) -> DataFrame:
     """(doc_id, start, n): repeated strings among the pieces (anchor, doc_id, start, bytes); pieces of one anchor share a merge."""
 
     def merge(doc: list[int], start: list[int], body: list[bytes]) -> pa.RecordBatch:
