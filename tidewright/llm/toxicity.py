@@ -117,7 +117,9 @@ def train(docs: DataFrame, marks: DataFrame, sample_rows: int = 20_000) -> Facto
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(marks), "doc_id")  # sample_rows bounds it
     got = rows.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, slots array<int>").toArrow().sort_by("doc_id")
-    sets = [np.asarray(x, np.int32) for x in got.column("slots").to_pylist()]
+    slots = got.column("slots").combine_chunks()
+    ends, flat = slots.offsets.to_numpy(), slots.values.to_numpy()  # no list of Python numbers
+    sets = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
     return FactorizationMachine().fit(sets, got.column("y").to_numpy().astype(float))
 
 
