@@ -49,7 +49,7 @@ class WordTokenizer(dict):
     encodes each new word; all other stretches go through the library as they are, special tokens included.
     """
 
-    def __init__(self, path: str, most_words: int = 500_000) -> None:
+    def __init__(self, path: str, most_words: int = 150_000) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
