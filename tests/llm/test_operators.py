@@ -112,6 +112,22 @@ def test_near_duplicate_stage(spark, docs, rows, none):
     assert near_duplicates.near_duplicate_stage(spark, none, "").count() == 0
 
 
+@pytest.mark.parametrize("n", [40, 600])
+def test_near_duplicates_of_one_original(spark, n):
+    """Copies are alike enough to the original (0.87), not to each other (0.76)."""
+    rng = random.Random(13)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(300)]
+    texts = [" ".join(words)]
+    for i in range(n):
+        w = list(words)
+        for k in rng.sample(range(1, 59), 4):
+            w[5 * k] = f"x{i}y{k}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    gone = {r.doc_id: r.component_id for r in near_duplicates.duplicate_ids(df).collect()}
+    assert set(gone.values()) == {0} and len(gone) >= 0.98 * n
+
+
 def test_repeats(docs, rows, none):
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.sha) for r in repeats.without_repeats(docs).withColumn("sha", F.sha2("kept", 256)).collect()}
     assert got == {x[0]: x[1:] for x in repeats.brute_force([(i, (t or "").encode()) for i, t, *_ in rows])}

@@ -3,7 +3,8 @@
 The fingerprints are two independent SimHashes of the document's distinct words; a few edited words move them by a
 few bits only. Documents that meet in either fingerprint within `radius` bits are candidates if a 96-value minwise sketch
 of their five-word shingles puts the similarity at `guess` or more; the index returns spanning forests of these, and
-each of their links is checked on the whole shingle sets.
+each of their links is checked on the whole shingle sets. Where a link fails, the forest may have hidden others behind
+it: the documents it held together are searched again, and there a pair joins only after its own check.
 """
 
 from __future__ import annotations
@@ -84,7 +85,14 @@ def duplicate_ids(docs: DataFrame, radius: int = 6, least: float = 0.8, guess: f
     sets = written(shingle_sets(docs, ends))
     both = links.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    comps = components(both.filter(shared >= least * (F.size("sa") + F.size("sb") - shared)).select("a", "b"))
+    passed = written(both.filter(shared >= least * (F.size("sa") + F.size("sb") - shared)).select("a", "b"))
+    # Trees of the first search that hold more than one pair and did not stay whole.
+    named = written(components(links).join(components(passed).withColumnRenamed("component", "grp"), "id", "left").select("id", F.col("component").alias("tree"), F.coalesce("grp", "id").alias("grp")))
+    broken = written(named.groupBy("tree").agg(F.count(F.lit(1)).alias("n"), F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("n > 2 AND lo <> hi").select("tree"))
+    again = written(named.join(broken, "tree").join(sets, "id").select("id", "grp", F.col("shingles").alias("items")))
+    points = reps.join(again.select("id"), "id").select("id", "f0", "f1", "sketch")
+    more = hamming_links(points, radius, ["f0", "f1"], "sketch", guess, sets=again, share=least)
+    comps = components(passed.unionByName(more))
     groups = written(reps.select("key", "id").join(comps, "id", "left").select("key", F.coalesce("component", "id").alias("component_id")))
     return sig.select("doc_id", "key").join(groups, "key").filter("doc_id <> component_id").select("doc_id", "component_id")
 

@@ -6,7 +6,7 @@ fingerprints are range-partitioned and sorted by their Gray rank: neighbours in
 patterns. A sorted run with one leading block is a node; runs longer than ``chunk`` are cut into child
 nodes. Each node keeps the bits all its members share (mask and pattern), and a pair of nodes is skipped
 when the differences accumulated on commonly masked bits exceed the radius. Only surviving pairs of bounded
-nodes meet in a task, which writes a spanning forest of the links it found, never all pairs.
+nodes meet in a task, which writes a spanning forest of the pairs it found close, never all pairs.
 
 Range partitioning balances rows however large one block value gets, so a hot group is spread over tasks.
 """
@@ -66,18 +66,21 @@ class _Forest:
     def __init__(self, n: int) -> None:
         self.lab = np.arange(n)
 
-    def join(self, i: np.ndarray, j: np.ndarray) -> None:
-        lab = self.lab
-        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+    def join(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Join the pairs; which of them brought two trees together."""
+        lab, new = self.lab, np.zeros(len(i), bool)
+        for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
             while lab[a] != a:
                 a = lab[a]
             while lab[b] != b:
                 b = lab[b]
             if a != b:
                 lab[max(a, b)] = min(a, b)
+                new[k] = True
         while not np.array_equal(lab, up := lab[lab]):
             lab = up
         self.lab = lab
+        return new
 
     def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         return self.lab[i] != self.lab[j]
@@ -88,22 +91,53 @@ def _likeness(sketch: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return ((sketch[i] == sketch[j]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
 
 
-def _join_close(forest: _Forest, fp: np.ndarray, sketch: np.ndarray | None, i: np.ndarray, j: np.ndarray, radius: int, least: float) -> None:
-    """Join the pairs (i, j) that are close, the most alike first; in slices, so that pairs already connected are not looked at twice."""
+def _close(forest: _Forest, fp: np.ndarray, sketch: np.ndarray | None, i: np.ndarray, j: np.ndarray, radius: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of (i, j) that are close and still apart, the most alike first, and their likeness."""
+    near = np.bitwise_count(fp[i] ^ fp[j]) <= radius
+    i, j = i[near], j[near]
+    new = forest.apart(i, j)
+    i, j = i[new], j[new]
+    if sketch is None or not len(i):
+        return i, j, np.ones(len(i))
+    like = _likeness(sketch, i, j)
+    order = np.argsort(-like, kind="stable")
+    order = order[like[order] >= least]
+    return i[order], j[order], like[order]
+
+
+def _join_close(forest: _Forest, fp: np.ndarray, sketch: np.ndarray | None, i: np.ndarray, j: np.ndarray, radius: int, least: float) -> list[np.ndarray]:
+    """Join the pairs (i, j) that are close, in slices, so that pairs already connected are not looked at twice. The pairs that joined trees, as rows."""
+    out = []
     for s in range(0, len(i), 1 << 15):
-        a, b = i[s : s + (1 << 15)], j[s : s + (1 << 15)]
-        near = np.bitwise_count(fp[a] ^ fp[b]) <= radius
-        a, b = a[near], b[near]
+        a, b, _ = _close(forest, fp, sketch, i[s : s + (1 << 15)], j[s : s + (1 << 15)], radius, least)
         if len(a):
-            new = forest.apart(a, b)
-            a, b = a[new], b[new]
-            if sketch is not None and len(a):
-                like = _likeness(sketch, a, b)
-                order = np.argsort(-like, kind="stable")
-                order = order[like[order] >= least]
-                a, b = a[order], b[order]
-            if len(a):
-                forest.join(a, b)
+            new = forest.join(a, b)
+            out.append(np.stack([a[new], b[new]], axis=1))
+    return out
+
+
+def _join_checked(forest: _Forest, fp: np.ndarray, sketch: np.ndarray | None, i: np.ndarray, j: np.ndarray, radius: int, least: float, sets: list[np.ndarray], share: float) -> list[np.ndarray]:
+    """The same for pairs whose sets have at least `share` in common; no other pair joins anything."""
+    up, out = forest.lab.tolist(), []
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for s in range(0, len(i), 1 << 18):
+        a, b, _ = _close(forest, fp, sketch, i[s : s + (1 << 18)], j[s : s + (1 << 18)], radius, least)
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            rx, ry = root(x), root(y)
+            n, m = len(sets[x]), len(sets[y])
+            if rx != ry and min(n, m) >= share * max(n, m):
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if both >= share * (n + m - both):
+                    up[max(rx, ry)] = min(rx, ry)
+                    out.append(np.array([[x, y]]))
+        forest.lab = np.array([root(x) for x in range(len(up))], np.int64)
+    return out
 
 
 def _rotated(fp: str, blocks: int, table: int = 0) -> list:
@@ -124,13 +158,15 @@ def _gray_rank(col: str):
     return rank.bitwiseXOR(F.lit(-(1 << 63)))
 
 
-def hamming_links(points: DataFrame, radius: int, fps: list[str] | None = None, sketch: str | None = None, least: float = 0.0, chunk: int = CHUNK) -> DataFrame:
-    """(a, b): links that connect the same points as all pairs at most `radius` bits apart do.
+def hamming_links(points: DataFrame, radius: int, fps: list[str] | None = None, sketch: str | None = None, least: float = 0.0, chunk: int = CHUNK, sets: DataFrame | None = None, share: float = 0.0) -> DataFrame:
+    """(a, b): pairs that were compared and connect the same points as all pairs at most `radius` bits apart do.
 
     points: id (long, unique), fingerprint columns `fps` (long; a pair may meet in any of them) and optionally
     a binary minwise sketch on which a pair has to agree by at least `least`.
+    sets: (id, grp, items) for each point, items distinct. With it a pair also needs `share` of the two sets in common
+    before it connects anything; points of one grp are connected from the start and give no pairs.
     """
-    fps, blocks = fps or ["fp"], radius + 1
+    fps, blocks, checked = fps or ["fp"], radius + 1, sets is not None
     rows = points.select("id", (F.col(sketch) if sketch else F.lit(None).cast("binary")).alias("sketch"), F.explode(F.array(*[x for t, fp in enumerate(fps) for x in _rotated(fp, blocks, t)])).alias("x")).select("id", "sketch", "x.*")
     rows = rows.withColumn("rank", _gray_rank("rot")).repartitionByRange("r", "rank").sortWithinPartitions("r", "rank", "id")
 
@@ -152,22 +188,24 @@ def hamming_links(points: DataFrame, radius: int, fps: list[str] | None = None,
         part = (np.arange(n) - start) // chunk
         cut = np.r_[True, new[1:] | (part[1:] != part[:-1])]
         leaf = np.cumsum(cut) - 1
-        forest, i, d = _Forest(n), np.arange(n - 1), 1
+        forest, i, d, pairs = _Forest(n), np.arange(0 if checked else n - 1), 1, []
         while len(i):
             i = i[(i + d < n)]
             i = i[leaf[i + d] == leaf[i]]
             if len(i):
-                _join_close(forest, fp, sk, i, i + d, radius, least)
+                pairs += _join_close(forest, fp, sk, i, i + d, radius, least)
             d += 1
         lab = forest.lab
-        kids = np.flatnonzero(lab != np.arange(n))
+        kids, mates = np.concatenate([np.zeros((0, 2), np.int64), *pairs]).T
         open_ = (np.bincount(run)[run] > chunk) | (run == 0) | (run == run[-1])  # may go on in another leaf or task
+        if checked:
+            open_ |= np.bincount(leaf)[leaf] > 1
         out = np.flatnonzero(open_)
         base = TaskContext.get().partitionId() << 40
         size = len(kids) + len(out)
         nil = lambda k: np.zeros(k, np.int64)
         cols = [
-            np.r_[np.zeros(len(kids), np.int32), np.ones(len(out), np.int32)], np.r_[ident[kids], ident[out]], np.r_[ident[lab[kids]], nil(len(out))],
+            np.r_[np.zeros(len(kids), np.int32), np.ones(len(out), np.int32)], np.r_[ident[kids], ident[out]], np.r_[ident[mates], nil(len(out))],
             np.r_[nil(len(kids)), r[out]].astype(np.int32), np.r_[nil(len(kids)), node[out]], np.r_[nil(len(kids)), base + leaf[out]],
             np.r_[nil(len(kids)), fp[out].view(np.int64)], np.r_[nil(len(kids)), ident[lab[out]]],
         ]
@@ -183,9 +221,10 @@ def hamming_links(points: DataFrame, radius: int, fps: list[str] | None = None,
     upper = written(upper.withColumn("mask", F.bitwise_not(F.col("all").bitwiseXOR(F.col("any")))).drop("any"))
     right = upper.select("r", "node", *[F.col(c).alias(f"{c}2") for c in ("chunk", "all", "mask")])
     differ = F.bit_count(F.col("all").bitwiseXOR(F.col("all2")).bitwiseAND(F.col("mask")).bitwiseAND(F.col("mask2")))
-    units = upper.join(right, ["r", "node"]).filter((F.col("chunk") < F.col("chunk2")) & (differ <= radius))
+    apart = F.col("chunk") < F.col("chunk2") if not checked else F.col("chunk") <= F.col("chunk2")
+    units = upper.join(right, ["r", "node"]).filter(apart & (differ <= radius))
     ends = F.array(F.struct(F.col("chunk").alias("own"), F.lit(0).alias("side")), F.struct(F.col("chunk2").alias("own"), F.lit(1).alias("side")))
-    units = written(units.select(F.explode(ends).alias("x"), F.col("chunk").alias("c1"), F.col("chunk2").alias("c2")).select("x.*", "c1", "c2"))
+    units = written(units.select(F.explode(ends).alias("x"), F.col("chunk").alias("c1"), F.col("chunk2").alias("c2")).select("x.*", "c1", "c2").filter("side = 0 OR c1 <> c2"))
 
     def across(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
@@ -195,14 +234,21 @@ def hamming_links(points: DataFrame, radius: int, fps: list[str] | None = None,
         forest, heads = _Forest(len(fp)), {}
         pre = [(heads.setdefault(x, k), k) for k, x in enumerate(root.tolist())]
         forest.join(np.array([a for a, _ in pre]), np.array([b for _, b in pre]))
-        before = forest.lab.copy()
         left, rightside = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        for i in left:
-            _join_close(forest, fp, sk, np.full(len(rightside), i), rightside, radius, least)
-        kids = np.flatnonzero((forest.lab != before) & (before == np.arange(len(fp))))
-        return pa.table({"a": ident[kids], "b": ident[forest.lab[kids]]})
+        found = []
+        if not checked:
+            for i in left:
+                found += _join_close(forest, fp, sk, np.full(len(rightside), i), rightside, radius, least)
+        else:
+            items = [np.asarray(x) for x in table.column("items").to_numpy()]
+            i, j = np.triu_indices(len(left), 1) if not len(rightside) else (np.repeat(left, len(rightside)), np.tile(rightside, len(left)))
+            found = _join_checked(forest, fp, sk, i, j, radius, least, items, share)
+        i, j = np.concatenate([np.zeros((0, 2), np.int64), *found]).T
+        return pa.table({"a": ident[i], "b": ident[j]})
 
     pairs = members.join(units, F.col("chunk") == F.col("own")).select("c1", "c2", "side", "id", "rot", "root", "sketch")
+    if sets is not None:
+        pairs = pairs.drop("root").join(sets.select("id", F.col("grp").alias("root"), "items"), "id")
     return found.filter("kind = 0").select("a", "b").unionByName(pairs.groupBy("c1", "c2").applyInArrow(across, "a long, b long"))
 
 
