@@ -225,6 +225,28 @@ def test_decontamination(spark, none):
     assert decontamination.leaks(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_fillers_and_short_items(spark):
+    sums = "12 15 27 30 41 71 5 6 11 90 9 99"
+    names = "Anna Berta Carl Dora Emil Fritz Gerd Hanna Ida Jonas Karl Lena"
+    story = "When Anna came home from the market late in the evening 14 people sat down at the long table and ate 3 loaves of bread"
+    bench = spark.createDataFrame([(1, sums), (2, names), (3, "Water boils at which temperature"), (4, story)], "item_id long, text string")
+    df = spark.createDataFrame([
+        (1, "see " + sums), (2, "guests were " + names), (3, "he asked Water boils at which temperature"), (4, "see 13 16 29 31 42 73 6 7 13 91 8 99"),
+        (5, "so " + story.replace("3 loaves", "14 loaves")),  # 14 and 3 both 14: consistent
+        (6, "so " + story.replace("14 people", "8 people") + " or When Anna left"),
+        (7, story.replace("Anna", "Berta") + " " + story.replace("14 people", "Max people")),
+    ], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.n_windows for r in decontamination.leaks(df, bench).collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (5, 4), (6, 4), (7, 4)} and got[1, 1] == 5 and got[2, 2] == 5
+
+
+def test_decontamination_keeps_windows_beside_a_mixed_filler(spark):
+    words = "the quick brown fox jumps over a lazy dog while seven small birds watch from their high branches and sing all day about summer"
+    bench = spark.createDataFrame([(1, f"then 5 came. {words} until 5 left")], "item_id long, text string")
+    df = spark.createDataFrame([(1, f"then 6 came. {words} until 7 left")], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontamination.leaks(df, bench).collect()] == [(1, 1)]
+
+
 def labelled(n: int = 600) -> tuple[list, list]:
     rng = random.Random(8)
     words = ["".join(rng.choice("bcdfgaeiou") for _ in range(6)) for _ in range(300)]

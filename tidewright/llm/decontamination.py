@@ -3,8 +3,9 @@
 Words are canonicalised to a template: numbers, units and names (capitalised words that do not start a
 sentence) become typed placeholders, other words lose case and outer punctuation. Windows of `window` template
 words are hashed on both sides and hash-joined, so a question whose numbers or names were replaced still
-meets its source. A chain of joined windows counts only if the fillers are consistent: within one alignment each
-filler of the benchmark item always stands for the same filler in the document.
+meets its source. Such a window counts only if its fillers are consistent: within one alignment each
+filler of the benchmark item always stands for the same filler in the document. Windows of mostly fillers say too little
+as templates. All windows are also hashed by their literal words, so a verbatim window counts whatever it holds.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ UNITS = frozenset(
 _EDGES = bytes(i for i in range(33, 127) if not bytes([i]).isalnum())
 _NUMBER, _UNIT, _NAME = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (b"<number>", b"<unit>", b"<name>"))
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
+#: Fixed value: sets the hashes of literal windows apart from those of templates.
+_LITERAL = 1 << 32
 
 
 class Templates:
@@ -72,12 +75,12 @@ class Templates:
         return np.choose(kind.astype(np.int64), [literal, _NUMBER, _UNIT, _NAME]), literal, kind > 0
 
 
-def window_hashes(template: np.ndarray, filler: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def window_hashes(template: np.ndarray, filler: np.ndarray, size: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all windows of `size` words, and which of them have words enough that are no fillers (half, rounded up)."""
     n = len(template) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, bool)
-    h = np.full(n, np.uint64(size))
+    h = np.full(n, np.uint64(size + seed))
     for i in range(size):
         h = (h ^ template[i : i + n]) * _PRIME
         h ^= h >> np.uint64(29)
@@ -86,7 +89,7 @@ def window_hashes(template: np.ndarray, filler: np.ndarray, size: int) -> tuple[
 
 
 def _windows(rows: DataFrame, sizes: list[int] | None, window: int, bitmap) -> DataFrame:
-    """(id, pos, size, n_words, hash, fillers): windows of each text. sizes None: one size for a text, its length up to `window`."""
+    """(id, pos, size, n_words, hash, fillers): windows of each text, by template and by literal words (without fillers). sizes None: one size for a text, its length up to `window`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates()
@@ -95,13 +98,14 @@ def _windows(rows: DataFrame, sizes: list[int] | None, window: int, bitmap) -> D
             for ident, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 template, literal, filler = templates.words(text or b"")
                 for size in sizes or [min(window, max(1, len(template)))]:
-                    h, ok = window_hashes(template, filler, size)
-                    if bitmap is not None and len(h):
-                        ok &= bitmap.value.may_hold(h)
-                    pos = np.flatnonzero(ok)
-                    fillers = [(np.flatnonzero(filler[p : p + size]) << 56 | (literal[p : p + size][filler[p : p + size]] >> np.uint64(8)).astype(np.int64)).tolist() for p in pos.tolist()]
-                    for col, new in zip(out, ([ident] * len(pos), pos.tolist(), [size] * len(pos), [len(template)] * len(pos), h[pos].view(np.int64).tolist(), fillers), strict=True):
-                        col += new
+                    for words, given, seed in ((template, filler, 0), (literal, np.zeros_like(filler), _LITERAL)):
+                        h, ok = window_hashes(words, given, size, seed)
+                        if bitmap is not None and len(h):
+                            ok &= bitmap.value.may_hold(h)
+                        pos = np.flatnonzero(ok)
+                        fillers = [(np.flatnonzero(given[p : p + size]) << 56 | (literal[p : p + size][given[p : p + size]] >> np.uint64(8)).astype(np.int64)).tolist() for p in pos.tolist()]
+                        for col, new in zip(out, ([ident] * len(pos), pos.tolist(), [size] * len(pos), [len(template)] * len(pos), h[pos].view(np.int64).tolist(), fillers), strict=True):
+                            col += new
             types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["id", "pos", "size", "n_words", "hash", "fillers"])
 
@@ -111,8 +115,8 @@ def _windows(rows: DataFrame, sizes: list[int] | None, window: int, bitmap) -> D
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_coverage: float = 0.3) -> DataFrame:
     """(doc_id, item_id, n_windows, n_item_windows, coverage): documents that hold a benchmark item or a re-parameterised form of it.
 
-    coverage is the share of the item's windows found in the document in alignments with consistent fillers; pairs under
-    `least_coverage` are left out. Items shorter than the window are one window of their own length. Null and empty texts
+    coverage is the share of the item's windows found in the document, verbatim or with fillers that are consistent in
+    their alignment; pairs under `least_coverage` are left out. Items shorter than the window are one window of their own length. Null and empty texts
     hold nothing and are held nowhere; other columns are not looked at; equal rows give one result per id.
     """
     spark = docs.sparkSession
@@ -126,10 +130,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_coverage
     # One alignment: the item's start stands at one place of the document.
     pairs = F.transform(F.arrays_zip("fillers", "doc_fillers"), lambda x: F.struct(x["fillers"].bitwiseAND(F.lit((1 << 56) - 1)).alias("i"), x["doc_fillers"].bitwiseAND(F.lit((1 << 56) - 1)).alias("d")))
     aligned = met.groupBy("doc_id", "item_id", (F.col("doc_pos") - F.col("pos")).alias("shift")).agg(
-        F.collect_set("pos").alias("at"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"), F.max(F.col("n_words") - F.col("size") + 1).alias("n_item_windows")
+        F.collect_set(F.struct("pos", pairs.alias("pairs"))).alias("at"), F.max(F.col("n_words") - F.col("size") + 1).alias("n_item_windows")
     )
-    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["i"])))
-    held = aligned.filter(consistent).select("doc_id", "item_id", "n_item_windows", F.explode("at").alias("pos"))
+    aligned = aligned.withColumn("pairs", F.array_distinct(F.flatten(F.transform("at", lambda w: w["pairs"]))))
+    once = F.transform(F.array_distinct(F.transform("pairs", lambda x: x["i"])), lambda i: F.struct(i.alias("i"), F.size(F.filter("pairs", lambda x: x["i"] == i)).alias("n")))
+    aligned = aligned.withColumn("mixed", F.transform(F.filter(once, lambda x: x["n"] > 1), lambda x: x["i"]))
+    consistent = F.filter("at", lambda w: ~F.exists(w["pairs"], lambda x: F.array_contains(F.col("mixed"), x["i"])))
+    held = aligned.select("doc_id", "item_id", "n_item_windows", F.explode(consistent).alias("w")).select("doc_id", "item_id", "n_item_windows", "w.pos")
     counted = held.groupBy("doc_id", "item_id").agg(F.count_distinct("pos").alias("n_windows"), F.max("n_item_windows").alias("n_item_windows"))
     return counted.withColumn("coverage", F.col("n_windows") / F.col("n_item_windows")).filter(F.col("coverage") >= least_coverage)
 
