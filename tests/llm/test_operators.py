@@ -315,6 +315,23 @@ def test_quality_rules(spark, docs, rows, none):
     assert quality_rules.apply_rules(docs).count() == len(rows) and quality_rules.apply_rules(none).count() == 0
 
 
+def test_quality_rules_reject_repetition_alone(spark):
+    """Documents that differ from a clean group only in duplicate lines, or only in repeated words."""
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randint(2, 9)))
+    clean = [[[word() for _ in range(9)] for _ in range(10)] for _ in range(200)]
+    text = lambda lines: "\n".join(" ".join(x) for x in lines)
+    short = [[[word() for _ in range(6)] for _ in range(10)] + [["ab", "cd"]] * 15 for _ in range(4)]
+    rows = [(i, text(x), "en", "s") for i, x in enumerate(clean)] + [(1000 + i, text(x), "en", "s") for i, x in enumerate(short)]
+    for i in range(4):  # 36 of 90 words stand in a three-word sequence that comes twice
+        x = clean[i][:6] + [clean[i][0][:6] + clean[i][1][:3], clean[i][1][3:] + clean[i][2][:3], clean[i][8], clean[i][9]]
+        rows.append((2000 + i, text(x), "en", "s"))
+    got = {r.doc_id: r for r in quality_rules.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i].kept for i in range(200))
+    assert all(got[i].n_repeat_words * 2 <= got[i].n_words and not got[i].base_failed for i in got if i >= 1000)
+    assert not any(got[i].kept for i in got if i >= 1000), [(i, got[i].n_words, got[i].n_dup_lines, got[i].n_repeat_words, got[i].distance) for i in got if i >= 1000]
+
+
 def test_language_id(spark, none):
     rng = random.Random(10)
     tongue = {"aa": ["ba", "ki", "no", "ru"], "bb": ["sch", "tz", "eu", "ent"], "cc": ["ñi", "llo", "que", "ar"]}

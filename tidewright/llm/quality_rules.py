@@ -3,7 +3,8 @@
 Statistic vectors of each (language, source) group get a robust centre and scatter by concentration steps, all groups
 at once: distances under the current estimate, the group's 75 % quantile of them, and the moments of the rows
 below it. The start is the median and the median deviation of each statistic. Scatter has a floor per
-statistic, so that a statistic most rows of a group share does not make tiny deviations outliers. A row is rejected
+statistic, from the spread over all rows, so that a statistic most rows of a group share does not make tiny deviations
+outliers; it stays under what the statistic's range can exceed, so that each statistic can reject alone. A row is rejected
 when its squared distance, scaled so that the group's median is that of a chi-square, exceeds the cutoff.
 Groups under `min_group` rows are pooled by language, and if still too small, all together.
 """
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 from tidewright.llm._common import documents, written
 from tidewright.llm.text_stats import with_counts
 
-#: Statistic and the least standard deviation that it is given.
-STATS = {"x0": 0.5, "x1": 0.4, "x2": 1.2, "x3": 1.0, "x4": 0.4}
+#: Statistic and the greatest floor of its standard deviation. The cutoff lies at 5.07 deviations; x1, x2 and x4 reach log1p(100), x3 log1p(50).
+STATS = {"x0": 0.5, "x1": 0.4, "x2": 0.6, "x3": 0.5, "x4": 0.4}
 _P = len(STATS)
 #: Fixed values for five statistics: the median and the 0.9999 quantile of the chi-square distribution.
 CHI_MEDIAN, CHI_CUTOFF = 4.3515, 25.7448
@@ -54,9 +55,17 @@ def _distance() -> Column:
     return total
 
 
-def _estimates(moments: DataFrame) -> DataFrame:
+def _floors(rows: DataFrame) -> dict[str, float]:
+    """Floor of each statistic: the 0.9 quantile of the distance to the median over all rows, as a deviation, in bounds of STATS."""
+    names = list(STATS)
+    middle = rows.agg(*[F.percentile_approx(x, 0.5, 1000).alias(x) for x in names]).first()
+    wide = rows.agg(*[F.percentile_approx(F.abs(F.col(x) - F.lit(middle[x])), 0.9, 1000).alias(x) for x in names]).first()
+    return {x: min(most, max(most * 2 / 3, (wide[x] or 0.0) / 1.645)) for x, most in STATS.items()}
+
+
+def _estimates(moments: DataFrame, least: dict[str, float]) -> DataFrame:
     """Centre and inverse scatter of each group from n, the sums s and the sums of products q."""
-    floors = np.array(list(STATS.values())) ** 2
+    floors = np.array(list(least.values())) ** 2
 
     def invert(batches):
         for t in batches:
@@ -82,15 +91,15 @@ def outliers(counts: DataFrame, min_group: int = 50, keep_share: float = 0.75, s
     Null languages and sources form groups of their own. A pool of fewer than `min_group` rows rejects nothing.
     """
     rows = written(_grouped(transformed(counts), min_group).select(*counts.columns, *STATS, "grp"))
-    names = list(STATS)
+    names, floors = list(STATS), _floors(rows)
     middle = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(x, 0.5, 1000).alias(f"c{x}") for x in names])
     spread = rows.join(middle, "grp").groupBy("grp").agg(*[F.first(f"c{x}").alias(f"c{x}") for x in names], *[F.percentile_approx(F.abs(F.col(x) - F.col(f"c{x}")), 0.5, 1000).alias(f"d{x}") for x in names])
-    variance = lambda x: F.pow(1.4826 * F.col(f"d{x}"), 2) + STATS[x] ** 2
+    variance = lambda x: F.pow(1.4826 * F.col(f"d{x}"), 2) + floors[x] ** 2
     estimate = written(spread.select("grp", F.array(*[F.col(f"c{x}").cast("double") for x in names]).alias("m"), F.array(*[1 / variance(a) if a == b else F.lit(0.0) for a in names for b in names]).alias("p")))
     for _ in range(steps):
         far = rows.join(estimate, "grp").withColumn("d", _distance())
         limit = written(far.groupBy("grp").agg(F.percentile_approx("d", keep_share, 1000).alias("limit")))
-        estimate = written(_estimates(_moments(far.join(limit, "grp").filter("d <= limit"))))
+        estimate = written(_estimates(_moments(far.join(limit, "grp").filter("d <= limit")), floors))
     far = rows.join(estimate, "grp").withColumn("d", _distance())
     scale = written(far.groupBy("grp").agg(F.percentile_approx("d", 0.5, 1000).alias("mid"), F.count(F.lit(1)).alias("size")))
     # The scatter's floor makes distances small, so the scale is never below 1: it only widens what is accepted.
