@@ -189,3 +189,29 @@ def test_query_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_query_runs(spark, name):
     assert registry.queries()[name](spark, TINY).count() > 0
+
+
+def test_term_clusters_equal_greedy(spark):
+    import difflib
+    import random
+
+    rng = random.Random(15)
+    terms = sorted({rng.choice("ab") + "".join(rng.choice("abcd") for _ in range(rng.randint(2, 9))) for _ in range(150)})
+    rows = [(attr, t, rng.randint(1, 5)) for attr in ("x", None) for t in terms]
+    want = set()
+    for attr in ("x", None):
+        heads: list[str] = []
+        for _, t in sorted((-n, t) for a, t, n in rows if a == attr):
+            head = next((h for h in heads if h[0] == t[0] and difflib.SequenceMatcher(None, h, t).ratio() >= 0.7), None)
+            heads += [] if head else [t]
+            want.add((attr, t, head or t))
+    assert {tuple(r) for r in quality.term_clusters(spark.createDataFrame(rows, "attr string, term string, n int")).collect()} == want
+
+
+def test_queries_read_whole_input(spark, tmp_path):
+    from tidewright.plans import more_queries
+
+    spark.createDataFrame([(1, "some filling words " * 10 + "lighthouse", "en"), (2, "short words", "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert "lighthouse" in {r.term for r in more_queries.term_clusters(spark, str(tmp_path)).collect()}
+    n = spark.read.parquet(f"{TINY}/orders.parquet").select("o_custkey").distinct().count()
+    assert sum(r.n for r in more_queries.chosen_documents(spark, TINY).collect()) == n

@@ -89,8 +89,8 @@ def review_groups(spark, d):
 
 
 def chosen_documents(spark, d):
-    products = table(spark, d, "SELECT o_custkey AS product_id, 'x' || CAST(o_custkey % 400 AS STRING) AS source_id, o_orderpriority AS category FROM orders WHERE o_orderkey % 9 = 0").dropDuplicates(["product_id"])
-    docs = table(spark, d, "SELECT o_orderkey AS doc_id, 'x' || CAST(o_custkey % 500 AS STRING) AS source_id, o_orderpriority AS category, o_orderdate AS updated_at, o_custkey AS review_count FROM orders WHERE o_orderkey % 11 = 0")
+    products = table(spark, d, "SELECT o_custkey AS product_id, 'x' || CAST(o_custkey % 400 AS STRING) AS source_id, o_orderpriority AS category FROM orders").dropDuplicates(["product_id"])
+    docs = table(spark, d, "SELECT o_orderkey AS doc_id, 'x' || CAST(o_custkey % 500 AS STRING) AS source_id, o_orderpriority AS category, o_orderdate AS updated_at, o_custkey AS review_count FROM orders")
     return W.top_counts(L.choose_document(products.withColumn("category", F.lit("2-HIGH")), docs), ["status"], 10)
 
 
@@ -333,7 +333,7 @@ def retention(spark, d):
 
 
 def term_clusters(spark, d):
-    words = table(spark, d, "SELECT lang AS attr, explode(split(substr(text, 1, 60), ' ')) AS term, 1 AS n FROM documents").filter("length(term) > 6")
+    words = table(spark, d, "SELECT lang AS attr, explode(split(text, '\\\\s+')) AS term, 1 AS n FROM documents").filter("length(term) > 6")
     return Q.term_clusters(words)
 
 
