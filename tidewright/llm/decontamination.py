@@ -29,8 +29,8 @@ UNITS = frozenset(
 _EDGES = bytes(i for i in range(33, 127) if not bytes([i]).isalnum())
 _NUMBER, _UNIT, _NAME = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (b"<number>", b"<unit>", b"<name>"))
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
-#: Fixed value: sets the hashes of literal windows apart from those of templates.
-_LITERAL = 1 << 32
+#: Fixed value: sets the words of literal windows apart from those of templates.
+_LITERAL = np.uint64(0xD6E8FEB86659FD93)
 
 
 class Templates:
@@ -75,12 +75,12 @@ class Templates:
         return np.choose(kind.astype(np.int64), [literal, _NUMBER, _UNIT, _NAME]), literal, kind > 0
 
 
-def window_hashes(template: np.ndarray, filler: np.ndarray, size: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def window_hashes(template: np.ndarray, filler: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all windows of `size` words, and which of them have words enough that are no fillers (half, rounded up)."""
     n = len(template) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, bool)
-    h = np.full(n, np.uint64(size + seed))
+    h = np.full(n, np.uint64(size))
     for i in range(size):
         h = (h ^ template[i : i + n]) * _PRIME
         h ^= h >> np.uint64(29)
@@ -97,15 +97,18 @@ def _windows(rows: DataFrame, sizes: list[int] | None, window: int, bitmap) -> D
             out = [[], [], [], [], [], []]
             for ident, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 template, literal, filler = templates.words(text or b"")
+                n, both, given = len(template), np.concatenate([template, literal ^ _LITERAL]), np.concatenate([filler, np.zeros_like(filler)])
                 for size in sizes or [min(window, max(1, len(template)))]:
-                    for words, given, seed in ((template, filler, 0), (literal, np.zeros_like(filler), _LITERAL)):
-                        h, ok = window_hashes(words, given, size, seed)
-                        if bitmap is not None and len(h):
-                            ok &= bitmap.value.may_hold(h)
-                        pos = np.flatnonzero(ok)
-                        fillers = [(np.flatnonzero(given[p : p + size]) << 56 | (literal[p : p + size][given[p : p + size]] >> np.uint64(8)).astype(np.int64)).tolist() for p in pos.tolist()]
-                        for col, new in zip(out, ([ident] * len(pos), pos.tolist(), [size] * len(pos), [len(template)] * len(pos), h[pos].view(np.int64).tolist(), fillers), strict=True):
-                            col += new
+                    # Both forms in one row; windows over the seam are no windows.
+                    h, ok = window_hashes(both, given, size)
+                    ok[max(0, n - size + 1) : n] = False
+                    if bitmap is not None and len(h):
+                        ok &= bitmap.value.may_hold(h)
+                    at = np.flatnonzero(ok)
+                    fillers = [(np.flatnonzero(filler[p : p + size]) << 56 | (literal[p : p + size][filler[p : p + size]] >> np.uint64(8)).astype(np.int64)).tolist() if p < n else [] for p in at.tolist()]
+                    pos = at - n * (at >= n)
+                    for col, new in zip(out, ([ident] * len(pos), pos.tolist(), [size] * len(pos), [n] * len(pos), h[at].view(np.int64).tolist(), fillers), strict=True):
+                        col += new
             types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["id", "pos", "size", "n_words", "hash", "fillers"])
 
