@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +44,34 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have: `name`, with as many underscores before it as that takes."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def rows_without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs, all columns as they are, without the rows whose id_col is in the one-column frame ids."""
+    name = unused(docs, "gone")
+    return docs.join(ids.toDF(name), F.col(id_col) == F.col(name), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def share(spark: SparkSession, thing: Any) -> Broadcast:
+    """Broadcast an object of this package together with its class, so that executors need not have the package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+
+
+def opened(shared: Broadcast) -> Any:
+    return pickle.loads(shared.value)
+
+
+def small(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
+    """A written df marked for broadcast if it has at most `most_rows` rows of fixed width; else it is left to the optimizer."""
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 def split_remainder(doc_id: str | Column, modulus: int) -> Column:
     """crc32(doc_id as text) mod modulus; a null doc_id counts as the empty text."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
