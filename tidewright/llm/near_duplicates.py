@@ -1,10 +1,11 @@
 """Corpus stage: near-duplicate documents by SimHash candidates and five-word shingle similarity.
 
 The fingerprints are two independent SimHashes of the document's distinct words; a few edited words move them by a
-few bits only. Documents that meet in either fingerprint within `radius` bits are candidates if a 96-value minwise sketch
-of their five-word shingles puts the similarity at `guess` or more; the index returns spanning forests of these, and
-each of their links is checked on the whole shingle sets. Where a link fails, the forest may have hidden others behind
-it: the documents it held together are searched again, and there a pair joins only after its own check.
+few bits only. Documents that meet in either fingerprint within `radius` bits are candidates if a sketch of their five-word
+shingles, 128 one-bit minwise values, differs in at most `most_sketch_bits` (12.8 expected at a similarity of 0.8, 64 for texts that
+share nothing). The index returns spanning forests of these, and each of their links is checked on the whole shingle sets. Where
+a link fails, the forest may have hidden others behind it: the documents it held together are searched again, and there a
+pair joins only after its own check.
 """
 
 from __future__ import annotations
@@ -17,11 +18,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm._common import bitmap_of, written
+from tidewright.llm._common import bitmap_of, opened, rows_without, share, written
 from tidewright.llm.components import components
 from tidewright.llm.simhash import _bits_over_half, hamming_links, shingle_hashes
 
-SKETCH = 96
+SKETCH = 128
 _RNG = np.random.default_rng(11)
 _MULTIPLY = _RNG.integers(1, 1 << 31, SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _RNG.integers(0, 1 << 32, SKETCH, dtype=np.uint32)
@@ -34,17 +35,21 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def minwise(shingles: np.ndarray) -> bytes:
-    """The low byte of the least value of each of SKETCH hash functions over the shingles; zeros without shingles."""
+def minwise(shingles: np.ndarray) -> tuple[int, int]:
+    """One bit of the least value of each of SKETCH hash functions over the shingles, as two words; zeros without shingles."""
+    if not len(shingles):
+        return 0, 0
     low = np.full(SKETCH, 0xFFFFFFFF, np.uint32)
     values = (shingles ^ (shingles >> np.uint64(32))).astype(np.uint32)
     for s in range(0, len(values), 4096):
         low = np.minimum(low, (values[s : s + 4096, None] * _MULTIPLY + _ADD).min(axis=0))
-    return (low ^ (low >> np.uint32(8))).astype(np.uint8).tobytes() if len(values) else bytes(SKETCH)
+    bits = np.packbits(np.bitwise_count(low) & np.uint8(1))  # parity: the least value itself has few high bits
+    a, b = bits.view(np.int64).tolist()
+    return a, b
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, f0, f1, sketch): key names the lower-cased word sequence; null and word-less texts share one."""
+    """(doc_id, key, f0, f1, s0, s1): key names the lower-cased word sequence; null and word-less texts share one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -57,18 +62,20 @@ def signatures(docs: DataFrame) -> DataFrame:
                 f1.append(_bits_over_half(_mix(h)) if len(h) else 0)
                 sketches.append(minwise(shingle_hashes(text or b"", 5)))
             longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (f0, f1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), *longs, pa.array(sketches, pa.binary())], names=["doc_id", "key", "f0", "f1", "sketch"])
+            halves = [pa.array([x[k] for x in sketches], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), *longs, *halves], names=["doc_id", "key", "f0", "f1", "s0", "s1"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, key binary, f0 long, f1 long, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, key binary, f0 long, f1 long, s0 long, s1 long")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, k: int = 5) -> DataFrame:
     """(id, shingles): hashes of the distinct k-word shingles of the documents in ids."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(ids, "id"))
+    shared = share(docs.sparkSession, bitmap_of(ids, "id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = opened(shared)
         for b in batches:
-            b = b.filter(pa.array(shared.value.may_hold(b.column(0).to_numpy().view(np.uint64))))
+            b = b.filter(pa.array(bitmap.may_hold(b.column(0).to_numpy().view(np.uint64))))
             sets = [np.unique(shingle_hashes(t or b"", k)).view(np.int64) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
@@ -76,11 +83,11 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, k: int = 5) -> DataFrame:
     return rows.mapInArrow(run, "id long, shingles array<long>").join(ids, "id").dropDuplicates(["id"])
 
 
-def duplicate_ids(docs: DataFrame, radius: int = 6, least: float = 0.8, guess: float = 0.7) -> DataFrame:
+def duplicate_ids(docs: DataFrame, radius: int = 6, least: float = 0.8, most_sketch_bits: int = 26) -> DataFrame:
     """(doc_id, component_id): documents that repeat one of a smaller doc_id; rows without doc_id are left out."""
     sig = written(signatures(docs).filter("doc_id IS NOT NULL"))
-    reps = written(sig.groupBy("key").agg(F.min(F.struct("doc_id", "f0", "f1", "sketch")).alias("x")).select("key", F.col("x.doc_id").alias("id"), "x.f0", "x.f1", "x.sketch"))
-    links = written(hamming_links(reps.select("id", "f0", "f1", "sketch"), radius, ["f0", "f1"], "sketch", guess).distinct())
+    reps = written(sig.groupBy("key").agg(F.min(F.struct("doc_id", "f0", "f1", "s0", "s1")).alias("x")).select("key", F.col("x.doc_id").alias("id"), "x.f0", "x.f1", "x.s0", "x.s1"))
+    links = written(hamming_links(reps, radius, ["f0", "f1"], ("s0", "s1"), most_sketch_bits).distinct())
     ends = written(links.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     sets = written(shingle_sets(docs, ends))
     both = links.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
@@ -90,14 +97,17 @@ def duplicate_ids(docs: DataFrame, radius: int = 6, least: float = 0.8, guess: f
     named = written(components(links).join(components(passed).withColumnRenamed("component", "grp"), "id", "left").select("id", F.col("component").alias("tree"), F.coalesce("grp", "id").alias("grp")))
     broken = written(named.groupBy("tree").agg(F.count(F.lit(1)).alias("n"), F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("n > 2 AND lo <> hi").select("tree"))
     again = written(named.join(broken, "tree").join(sets, "id").select("id", "grp", F.col("shingles").alias("items")))
-    points = reps.join(again.select("id"), "id").select("id", "f0", "f1", "sketch")
-    more = hamming_links(points, radius, ["f0", "f1"], "sketch", guess, sets=again, share=least)
+    points = written(reps.join(again.select("id"), "id").select("id", "f0", "f1", "s0", "s1"))
+    more = hamming_links(points, radius, ["f0", "f1"], ("s0", "s1"), most_sketch_bits, agree=1, sets=again, share=least)
     comps = components(passed.unionByName(more))
     groups = written(reps.select("key", "id").join(comps, "id", "left").select("key", F.coalesce("component", "id").alias("component_id")))
     return sig.select("doc_id", "key").join(groups, "key").filter("doc_id <> component_id").select("doc_id", "component_id")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays; other documents stay as they are."""
-    gone = written(duplicate_ids(docs).select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
+    """Of each group of near copies the document with the smallest doc_id stays; other documents stay as they are.
+
+    Null, empty and word-less texts are copies of each other. Rows without doc_id stay. Rows that repeat a doc_id go or stay together. All columns
+    of docs are returned, whatever their names; an empty table gives no rows.
+    """
+    return rows_without(docs, written(duplicate_ids(docs).select("doc_id").distinct()))
