@@ -178,7 +178,28 @@ def test_tokenizer_equals_library(text):
     from tokenizers import Tokenizer
 
     own, library = packing.WordTokenizer(packing.word_bpe()), Tokenizer.from_file(packing.word_bpe())
-    assert own.encode(text.encode()).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert own.encode([text.encode()])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_tokenizer_that_forgets_equals_library():
+    from tokenizers import Tokenizer
+
+    own, library, rng = packing.WordTokenizer(packing.word_bpe(), most=30, late=20), Tokenizer.from_file(packing.word_bpe()), random.Random(21)
+    for _ in range(60):
+        texts = [" ".join("".join(rng.choice("abcXYZ019'.,-éßñ日<|>\u0301") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(0, 30))) for _ in range(3)]
+        assert [x.tolist() for x in own.encode([t.encode() for t in texts])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(own) <= 30 + 20 + 90
+
+
+def test_pack_block_takes_more_windows():
+    """Three pieces of 60 in two windows of 100 cannot stay whole; no piece is cut."""
+    items = [(i, 0, 60) for i in range(3)]
+    assert sorted(packing.pack_block(items, 100)) == [[x] for x in items]
+    rng = random.Random(22)
+    items = [(i, 5, rng.randint(1, 99)) for i in range(300)]
+    windows = packing.pack_block(items, 100)
+    assert sorted(x for w in windows for x in w) == items and all(sum(n for _, _, n in w) <= 100 for w in windows)
+    assert len(windows) <= 1.03 * sum(n for _, _, n in items) / 100 + 1
 
 
 def test_largest_differencing():

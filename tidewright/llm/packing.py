@@ -1,11 +1,11 @@
 """Packing of tokenised documents into fixed windows by Karmarkar-Karp multiway differencing.
 
 Each task tokenises the documents of its input split once and packs them as it goes, in blocks of bounded size;
-nothing is shuffled. Windows that a document fills alone are cut off first. The remainders of a block
-are split over its windows by the largest differencing method: partial partitions start with one
-remainder each, and the two with the largest imbalance are merged with opposing order until one is left.
-What a window holds beyond its capacity is cut off and moved to windows with room; what finds no room opens a
-further window. A full block holds exactly its windows' tokens, so only the last window of a split is padded.
+nothing is shuffled. Windows that a document fills alone are cut off first. The remainders of a block, about half a window
+less than its windows hold, are split over them by the largest differencing method: partial partitions start with one
+remainder each, and the two with the largest imbalance are merged with opposing order until one is left. The sums are near
+equal; where one exceeds the capacity all the same, the block is split over one window more. So no remainder is cut, and about
+half a window of a block is padding.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import types
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,74 +26,72 @@ from pyspark.sql import functions as F
 
 from tidewright.llm._common import documents
 
-BLOCK_WINDOWS = 64
+BLOCK_WINDOWS = 128
 
-
-#: The words of this tokenizer after its normaliser, for Latin letters up to U+017F.
-_LATIN = "a-z\u00df-\u00f6\u00f8-\u017f"
-_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[^{_LATIN}0-9]+")
+#: Visible ASCII and Latin letters, whose stretches this tokenizer encodes alike alone and between others.
 _PLAIN = re.compile("[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
 
 
-def _byte_letters() -> dict[int, str]:
-    """The letter that stands for each byte in byte-level vocabularies: itself if visible, else one from U+0100 on."""
-    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in visible]
-    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-
-
 class WordTokenizer(dict):
-    """Ids of whole texts; maps each distinct stretch without white space to a number, learning it when first met.
+    """Ids of whole texts; maps each distinct stretch without white space to a number.
 
     This tokenizer drops white space and neither normalises nor merges across it, so the ids of a text are those of
-    its stretches. Stretches of visible ASCII and Latin letters are lower-cased and split here, and the library's model
-    encodes each new word; all other stretches go through the library as they are, special tokens included.
+    its stretches. Stretches not met before go through the library in one text, parted by a special token; those with other
+    letters or with special tokens one by one. The first `most` stretches stay, which frequent ones are among; what comes
+    later is forgotten now and then.
     """
 
-    def __init__(self, path: str, most_words: int = 150_000) -> None:
+    def __init__(self, path: str, most: int = 400_000, late: int = 100_000) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.library, self.most, self.letters = Tokenizer.from_file(path), most_words, _byte_letters()
-        self.forget()
-
-    def forget(self) -> None:
-        self.clear()
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.flat, self.start, self.size = array("H"), array("q"), array("q")
-
-    def _word(self, word: str) -> tuple[int, ...]:
-        ids = self.words.get(word)
-        if ids is None:
-            spelled = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-            ids = self.words[word] = tuple(t.id for t in self.library.model.tokenize(spelled))
-        return ids
-
-    def __missing__(self, stretch: bytes) -> int:
-        text = stretch.decode(errors="replace")
-        if _PLAIN.fullmatch(text) and "<|" not in text:
-            ids = [i for w in _WORDS.findall(text.lower()) for i in self._word(w)]
-        else:
-            ids = self.library.encode(text, add_special_tokens=False).ids
-        n = self[stretch] = len(self.start)
-        self.start.append(len(self.flat))
-        self.size.append(len(ids))
+        self.library, self.most, self.late = Tokenizer.from_file(path), most, late
+        self.mark, token = min((i, t) for i, t in self.library.get_added_tokens_decoder().items() if t.special)
+        self.between = token.content.encode()
+        self.flat, self.start = array("H"), array("q", [0])  # ids of stretch n stand from start[n] to start[n + 1]
+
+    def learn(self, stretches: list[bytes]) -> None:
+        plain, odd = [], []
+        for stretch in stretches:
+            known = stretch.isascii() and stretch.isalnum() or _PLAIN.fullmatch(stretch.decode(errors="replace")) and b"<|" not in stretch
+            (plain if known else odd).append(stretch)
+        found = [self.library.encode(x.decode(errors="replace"), add_special_tokens=False).ids for x in odd]
+        ids, sizes = array("H", chain.from_iterable(found)), [len(x) for x in found]
+        if plain:
+            text = self.between.join(plain).decode()
+            got = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
+            marks = np.flatnonzero(got == self.mark)
+            sizes += (np.diff(np.r_[-1, marks, len(got)]) - 1).tolist()
+            ids.frombytes(np.delete(got, marks).tobytes())
+        self.update(zip(chain(odd, plain), range(len(self), len(self) + len(sizes)), strict=True))
+        ends = self.start[-1] + np.cumsum(np.array(sizes, np.int64))
         self.flat.extend(ids)
-        return n
-
-    def encode(self, text: bytes) -> np.ndarray:
-        """Ids of one text as uint32. The table starts anew when it has `most` stretches."""
-        if len(self) > self.most:
-            self.forget()
-        words = text.split()
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        size = np.frombuffer(self.size, np.int64)[at] if len(at) else at
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        if not total:
-            return np.zeros(0, np.uint32)
-        start = np.frombuffer(self.start, np.int64)[at]
-        return np.frombuffer(self.flat, np.uint16)[np.repeat(start - (ends - size), size) + np.arange(total)].astype(np.uint32)
+        self.start.frombytes(ends.tobytes())
+
+    def forget_late(self) -> None:
+        while len(self) > self.most:
+            self.popitem()
+        del self.start[len(self) + 1 :]
+        del self.flat[self.start[-1] :]
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text as uint32."""
+        split = [t.split() for t in texts]
+        words = list(chain.from_iterable(split))
+        found = list(map(self.get, words))
+        if late := [k for k, n in enumerate(found) if n is None]:
+            self.learn(list({words[k] for k in late}))
+            for k in late:
+                found[k] = self[words[k]]
+        at = np.array(found, np.int64)
+        start = np.array(self.start, np.int64)
+        size = start[at + 1] - start[at]
+        ends = np.r_[0, np.cumsum(size)]
+        ids = np.array(self.flat, np.uint16)[np.repeat(start[at] - ends[:-1], size) + np.arange(ends[-1])].astype(np.uint32)
+        cuts = ends[np.cumsum([len(x) for x in split])].tolist()
+        if len(self) > self.most + self.late:
+            self.forget_late()
+        return [ids[i:j] for i, j in zip([0, *cuts[:-1]], cuts, strict=True)]
 
 
 def _tokenizer(path: str) -> WordTokenizer:
@@ -103,6 +102,19 @@ def _tokenizer(path: str) -> WordTokenizer:
     return known[path]
 
 
+def _groups(rows: Iterator[tuple], most: int = 1 << 20) -> Iterator[list[tuple]]:
+    """Consecutive (name, text) rows of about `most` bytes of text together."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[1])
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def largest_differencing(sizes: list[int], ways: int) -> list[list[int]]:
     """Split the numbered sizes into `ways` parts of near-equal sums."""
     heap = []
@@ -135,50 +147,34 @@ def largest_differencing(sizes: list[int], ways: int) -> list[list[int]]:
 
 
 def pack_block(items: list[tuple[int, int, int]], capacity: int) -> list[list[tuple[int, int, int]]]:
-    """Windows of (document, start, length) pieces, none over capacity; pieces are cut only where a window overflows."""
-    total = sum(n for _, _, n in items)
-    windows, spill = [], []
-    for part in largest_differencing([n for _, _, n in items], max(1, -(-total // capacity))):
-        window, room = [], capacity
-        for k in part:
-            doc, start, n = items[k]
-            take = min(n, room)
-            if take:
-                window.append((doc, start, take))
-                room -= take
-            if n > take:
-                spill.append((doc, start + take, n - take))
-        windows.append([window, room])
-    at = 0
-    for doc, start, n in spill:
-        while n:
-            while at < len(windows) and not windows[at][1]:
-                at += 1
-            if at == len(windows):
-                windows.append([[], capacity])  # the window count rises
-            take = min(n, windows[at][1])
-            windows[at][0].append((doc, start, take))
-            windows[at][1] -= take
-            start, n = start + take, n - take
-    return [w for w, _ in windows if w]
+    """Windows of (document, start, length) pieces, none over capacity; each piece is at most `capacity` long and stays whole."""
+    sizes = [n for _, _, n in items]
+    ways = max(1, -(-sum(sizes) // capacity))
+    parts = largest_differencing(sizes, ways)
+    while any(sum(sizes[k] for k in part) > capacity for part in parts):
+        ways += 1  # the window count rises
+        parts = largest_differencing(sizes, ways)
+    return [[items[k] for k in part] for part in parts if part]
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2, block_windows: int = BLOCK_WINDOWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: which ids of which document stand where in which sequence.
 
-    A document is its ids and `end_id`; a null or empty text is `end_id` alone. Each id lies in exactly one piece. Rows that
-    repeat a doc_id are packed one by one. An empty table gives no rows. sequence_id holds the input split in its upper bits.
+    A document is its ids and `end_id`; a null or empty text is `end_id` alone. Each id lies in exactly one piece; a document
+    longer than `capacity` is cut at its multiples, others stay whole. Rows that repeat a doc_id are packed one by one, null ids too. An empty
+    table gives no rows. Other columns of docs are not looked at. sequence_id holds the input split in its upper bits.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         tokenizer, base = _tokenizer(tokenizer_path), TaskContext.get().partitionId() << 40
-        ids: dict[int, np.ndarray] = {}  # of documents with a piece that is not placed yet
+        ids: dict[int, np.ndarray] = {}  # of documents with a remainder that is not placed yet
         names: dict[int, int | None] = {}
         items: list[tuple[int, int, int]] = []
         rows: list[tuple] = []
         state = {"held": 0, "seq": 0, "next": 0}
+        full = block_windows * capacity - capacity // 2
 
         def place(windows: list[list[tuple[int, int, int]]]) -> None:
             for window in windows:
@@ -191,6 +187,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
 
         def flush() -> None:
             place(pack_block(items, capacity))
+            for doc, _, _ in items:
+                del ids[doc], names[doc]
             items.clear()
             state["held"] = 0
 
@@ -199,34 +197,24 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
             rows.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-        block = block_windows * capacity
-        for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        given = ((name, text or b"") for b in batches for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        for group in _groups(given):
+            for (name, _), got in zip(group, tokenizer.encode([text for _, text in group]), strict=True):
                 doc = state["next"]
                 state["next"] += 1
-                ids[doc] = np.append(tokenizer.encode(text or b""), np.uint32(end_id)).astype("<u4")
-                names[doc] = name
-                whole = len(ids[doc]) // capacity * capacity
+                ids[doc], names[doc] = np.append(got, np.uint32(end_id)).astype("<u4"), name
+                n = len(ids[doc])
+                whole = n // capacity * capacity
                 place([[(doc, s, capacity)] for s in range(0, whole, capacity)])
-                start, n = whole, len(ids[doc]) - whole
-                if n:
-                    take = min(n, block - state["held"])
-                    items.append((doc, start, take))
-                    state["held"] += take
-                    start, n = start + take, n - take
-                    if state["held"] == block:
-                        flush()
-                        kept = ids[doc]
-                        ids.clear()
-                        ids[doc] = kept
-                        if n:
-                            items.append((doc, start, n))
-                            state["held"] = n
-                if not items:
-                    ids.clear()
-                    names.clear()
-                elif not n and whole and not any(i[0] == doc for i in items[-1:]):
-                    del ids[doc]
+                if n == whole:
+                    del ids[doc], names[doc]
+                    continue
+                if state["held"] + n - whole > full:
+                    mine = ids.pop(doc), names.pop(doc)
+                    flush()
+                    ids[doc], names[doc] = mine
+                items.append((doc, whole, n - whole))
+                state["held"] += n - whole
             if rows:
                 yield out()
         if items:
@@ -244,8 +232,10 @@ def word_bpe() -> str:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 4096 ids of the public word vocabulary; see `pack`."""
     return pack(documents(spark, sf_dir), word_bpe())
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The last stage: pieces of all documents that are left, one row each; nulls, repeated rows and empty tables as in `pack`."""
     return pack(docs, word_bpe())
