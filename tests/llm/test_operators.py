@@ -362,7 +362,7 @@ def test_language_id(spark, none):
     got = {r.doc_id: r for r in language_id.predict(df).collect()}
     assert all(got[i].lang_pred == t for i, _, t in rows[:120]) and got[502].lang_pred == "bb"
     assert got[500].lang_pred == got[501].lang_pred == "und" and all(0 <= r.score <= 1 for r in got.values())
-    model = language_id.train(df)
+    model, _ = language_id.train(df)
     total = sum(np.exp(model._log(np.array([ord(c) | ord("a") << 16 | ord("b") << 32 | 32 << 48 for c in map(chr, range(1, 70))], np.uint64))).sum(axis=0))
     assert total < 3.01  # at most one in all for each language
     assert language_id.predict(none).count() == 0

@@ -4,7 +4,7 @@ Texts are reduced to lower-case letters with single spaces between words. Charac
 language over all training documents: each task sums its own grams, a shuffle adds them up. From the counts come
 Kneser-Ney probabilities of orders 4 to 1, kept in sorted arrays that are searched by gram. A text gets, per language,
 its cross-entropy per character over the whole text; the lowest wins. A prediction is marked as rejected when its
-cross-entropy exceeds what nearly all training texts of the predicted language stay under.
+cross-entropy exceeds what nearly all texts of the predicted language stay under that a model has not seen.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm._common import documents, split_remainder, written
+from tidewright.llm._common import documents, opened, share, small, split_remainder, written
 
 ORDER, SPACE = 4, 32
 _MASK = [np.uint64((1 << (16 * n)) - 1) for n in range(ORDER + 1)]
@@ -128,10 +128,12 @@ class KneserNey:
         return total / np.maximum(np.bincount(owner, minlength=len(texts)), 1)[:, None]
 
 
-def train(docs: DataFrame, most_grams: int = 4_000_000) -> KneserNey:
-    """Fit on all rows with a language outside the held-out split. Beyond `most_grams` distinct (language, gram) pairs the rarest counts
-    are pruned level by level, which bounds the model and not what is counted."""
-    rows = docs.filter(F.col("lang").isNotNull() & (split_remainder("doc_id", 4) != 2) & F.col("text").isNotNull()).select("lang", F.col("text").cast("string").alias("text"))
+def train(docs: DataFrame) -> tuple[KneserNey, KneserNey]:
+    """The model of all rows with a language outside the held-out split, and that of those with remainders 0 and 1 only, whose
+    entropies on the others are those of texts it has not seen. All grams are kept: their number grows with the input until
+    the four-letter sequences of its languages are met, and a rare language has as many as its texts give."""
+    rows = docs.filter(F.col("lang").isNotNull() & (split_remainder("doc_id", 4) != 2) & F.col("text").isNotNull())
+    rows = rows.select(F.concat(F.when(split_remainder("doc_id", 4) == 3, "3").otherwise("0"), "lang").alias("lang"), F.col("text").cast("string").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -159,19 +161,18 @@ def train(docs: DataFrame, most_grams: int = 4_000_000) -> KneserNey:
                 k = keys[s : s + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k)), pa.array(k.view(np.int64)), pa.array(c[s : s + 50_000])], names=["lang", "gram", "n"])
 
-    grams = written(rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    least, size = 1, grams.count()
-    while size > most_grams:
-        least += 1
-        size = grams.filter(F.col("n") >= least).count()
-    got = grams.filter(F.col("n") >= least).toArrow()
-    lang, keys, n = np.array(got.column("lang").to_pylist(), dtype=object), got.column("gram").to_numpy().view(np.uint64), got.column("n").to_numpy()
-    names, counts = sorted(set(lang)), {}
-    for name in names:
-        own = np.flatnonzero(lang == name)
+    split = rows.mapInArrow(count, "lang string, gram long, n long").select(F.substring("lang", 2, 1 << 30).alias("lang"), "gram", "n", F.when(F.col("lang").startswith("0"), F.col("n")).otherwise(0).alias("m"))
+    got = written(split.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))).toArrow()
+    lang, keys, n, m = got.column("lang").combine_chunks().dictionary_encode(), *[got.column(c).to_numpy() for c in ("gram", "n", "m")]
+    number, keys = lang.indices.to_numpy(), keys.view(np.uint64)
+    full, part = {}, {}
+    for k, name in sorted(enumerate(lang.dictionary.to_pylist()), key=lambda x: x[1]):
+        own = np.flatnonzero(number == k)
         own = own[np.argsort(keys[own])]
-        counts[name] = (keys[own], n[own])
-    return KneserNey(names, counts)
+        full[name], seen = (keys[own], n[own]), own[m[own] > 0]
+        if len(seen):
+            part[name] = (keys[seen], m[seen])
+    return KneserNey(list(full), full), KneserNey(list(part), part)
 
 
 def identify(docs: DataFrame, model: KneserNey, keep: list[str], sharpness: float = 12.0) -> DataFrame:
@@ -179,10 +180,10 @@ def identify(docs: DataFrame, model: KneserNey, keep: list[str], sharpness: floa
 
     `und`, score 0 and a null entropy if a text is null or has no letter, or no language was learned. Ties go to the first language by name.
     """
-    shared, schema = docs.sparkSession.sparkContext.broadcast(model), docs.select(*keep).schema.add("lang_pred", "string").add("entropy", "double").add("score", "double")
+    shared, schema = share(docs.sparkSession, model), docs.select(*keep).schema.add("lang_pred", "string").add("entropy", "double").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = opened(shared)
         for b in batches:
             texts = [letters(t) for t in b.column(b.num_columns - 1).to_pylist()]
             known = np.array([any(map(str.isalpha, t)) and bool(m.names) for t in texts], bool)
@@ -200,15 +201,20 @@ def identify(docs: DataFrame, model: KneserNey, keep: list[str], sharpness: floa
 
 
 def predict(docs: DataFrame, accept: float = 0.995) -> DataFrame:
-    """(doc_id, held_out, lang_pred, entropy, score, rejected). The limit of a language is the `accept` quantile of the entropies of the
-    training documents of that language that were predicted right; other columns of docs are not looked at."""
-    model = train(docs)
+    """(doc_id, held_out, lang_pred, entropy, score, rejected), one row per row of docs; other columns of docs are not looked at.
+
+    The limit of a language is the `accept` quantile of the entropies of training documents of that language under a model that
+    has not seen them; a language without such documents rejects nothing. Null texts and texts without a letter are `und` and rejected.
+    """
+    model, blind = train(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    out = written(identify(rows, model, ["doc_id", "lang"]).withColumn("held_out", split_remainder("doc_id", 4) == 2))
-    limit = out.filter("NOT held_out AND lang = lang_pred").groupBy("lang_pred").agg(F.percentile_approx("entropy", accept, 1000).alias("limit"))
-    rejected = F.coalesce(F.col("entropy") > F.col("limit"), F.lit(True))
-    return out.join(limit, "lang_pred", "left").select("doc_id", "held_out", "lang_pred", "entropy", "score", rejected.alias("rejected"))
+    unseen = identify(rows.filter((split_remainder("doc_id", 4) == 3) & F.col("lang").isNotNull()), blind, ["lang"])
+    limit = written(unseen.filter("lang = lang_pred").groupBy("lang_pred").agg(F.percentile_approx("entropy", accept, 1000).alias("limit")))
+    out = identify(rows, model, ["doc_id"]).join(small(limit), "lang_pred", "left")
+    rejected = F.col("entropy").isNull() | F.coalesce(F.col("entropy") > F.col("limit"), F.lit(False))
+    return out.select("doc_id", (split_remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "entropy", "score", rejected.alias("rejected"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score, rejected) for each document row."""
     return predict(documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score", "rejected")

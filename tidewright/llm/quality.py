@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm._common import documents, labels, split_remainder, written
+from tidewright.llm._common import documents, labels, opened, share, split_remainder, written
 from tidewright.llm.text_stats import COLUMNS, with_counts
 
 FEATURES, BINS = 256, 2000
@@ -88,12 +88,12 @@ def train(counts: DataFrame, marks: DataFrame, ridge: float = 1e-3) -> KernelRid
         model.levels = np.array([0.5, 0.5])
         return model
     model = KernelRidge(s / n, np.sqrt(np.maximum(q / n - (s / n) ** 2, 0)))
-    shared = counts.sparkSession.sparkContext.broadcast(model)
+    shared = share(counts.sparkSession, model)
 
     def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((FEATURES + 1, FEATURES + 2))
+        total, model = np.zeros((FEATURES + 1, FEATURES + 2)), opened(shared)
         for b in batches:
-            x = shared.value.features(statistics(_matrix(b)))
+            x = model.features(statistics(_matrix(b)))
             total += x.T @ np.column_stack([x, b.column("y").to_numpy()])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(FEATURES + 1)), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "row"])
 
@@ -104,11 +104,12 @@ def train(counts: DataFrame, marks: DataFrame, ridge: float = 1e-3) -> KernelRid
     if fit.num_rows:
         a = np.array(fit.column("row").to_pylist())
         model.weights = np.linalg.solve(a[:, :-1] + ridge * np.eye(FEATURES + 1) * max(1.0, a[-1, -2]) / FEATURES, a[:, -1])
-    fitted = counts.sparkSession.sparkContext.broadcast(model)
+    fitted = share(counts.sparkSession, model)
 
     def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = opened(fitted)
         for b in batches:
-            bins = np.round(fitted.value.raw(statistics(_matrix(b))) * BINS).astype(np.int64)
+            bins = np.round(model.raw(statistics(_matrix(b))) * BINS).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(bins), b.column("y")], names=["bin", "y"])
 
     # at most 2 * BINS + 1 bins
@@ -121,16 +122,18 @@ def train(counts: DataFrame, marks: DataFrame, ridge: float = 1e-3) -> KernelRid
 
 def score(counts: DataFrame, model: KernelRidge) -> DataFrame:
     """(doc_id, score) from counts; empty texts get the score of zero counts."""
-    shared = counts.sparkSession.sparkContext.broadcast(model)
+    shared = share(counts.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = opened(shared)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.clip(shared.value.probability(statistics(_matrix(b))), 0, 1))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.clip(model.probability(statistics(_matrix(b))), 0, 1))], names=["doc_id", "score"])
 
     return counts.select("doc_id", *COLUMNS).mapInArrow(run, "doc_id long, score double")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for each document row; null and empty texts have the score of zero counts."""
     counts = written(with_counts(documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"]))
     out = score(counts, train(counts, labels(spark, sf_dir)))
     return out.select("doc_id", (split_remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

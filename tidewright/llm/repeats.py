@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm._common import bitmap_of, documents, written
+from tidewright.llm._common import bitmap_of, documents, opened, share, written
 
 GRAM = 32
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -244,11 +244,12 @@ def repeated_strings(docs: DataFrame, length: int = 100) -> DataFrame:
     met = written(_meet_by_anchor(_find_stretches(rows, length)))
     mixed = met.filter("kind = 2").select("doc_id", F.struct("anchor", "start", "n").alias("x"))
     wanted = written(mixed.groupBy("doc_id").agg(F.collect_list("x").alias("want")))
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted, "doc_id"))
+    shared = share(docs.sparkSession, bitmap_of(wanted, "doc_id"))
 
     def flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = opened(shared)
         for b in batches:
-            yield b.filter(pa.array(shared.value.may_hold(b.column(0).to_numpy().view(np.uint64))))
+            yield b.filter(pa.array(bitmap.may_hold(b.column(0).to_numpy().view(np.uint64))))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

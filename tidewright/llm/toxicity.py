@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm._common import deterministic_fraction, documents, labels, split_remainder
+from tidewright.llm._common import deterministic_fraction, documents, labels, opened, share, split_remainder, unused
 
 BITS, FACTORS = 18, 8
 _SPACES = bytes(i if i >= 128 or bytes([i]).isalnum() else 32 for i in range(256))
@@ -37,7 +37,7 @@ class FactorizationMachine:
 
     def __init__(self, factors: int = FACTORS, epochs: int = 20, rate: float = 0.2, l2: float = 1e-5, min_docs: int = 5, least_z: float = 3.5, batch: int = 64, seed: int = 7) -> None:
         self.factors, self.epochs, self.rate, self.l2, self.min_docs, self.least_z, self.batch, self.seed = factors, epochs, rate, l2, min_docs, least_z, batch, seed
-        self.bias, self.slots = 0.0, np.zeros(0, np.int32)
+        self.bias, self.slots, self.rows = 0.0, np.zeros(0, np.int32), 0
         self.w, self.v = np.zeros(1, np.float32), np.zeros((1, factors), np.float32)
 
     def _rows(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -65,6 +65,7 @@ class FactorizationMachine:
     def fit(self, sets: list[np.ndarray], y: np.ndarray) -> FactorizationMachine:
         positives = float(y.sum())
         self.bias = float(np.log((positives + 0.5) / (len(y) - positives + 0.5)))
+        self.rows = len(y)
         if not len(y):
             return self
         slots, inv, docs = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -123,27 +124,36 @@ def train(docs: DataFrame, marks: DataFrame, sample_rows: int = 20_000) -> Facto
     return FactorizationMachine().fit(sets, got.column("y").to_numpy().astype(float))
 
 
-def score(docs: DataFrame, model: FactorizationMachine, keep: list[str] | None = None) -> DataFrame:
-    """(keep columns..., score): the probability of each whole text. Null and empty texts get that of no terms."""
-    keep = keep or ["doc_id"]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*keep).schema.add("score", "double")
+def score(docs: DataFrame, model: FactorizationMachine, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """(keep columns..., name): the probability of each whole text, row by row. Null and empty texts get that of no terms; an empty table gives no rows."""
+    keep = [f"`{c}`" for c in keep or ["doc_id"]]
+    shared = share(docs.sparkSession, model)
+    schema = docs.select(*keep).schema.add(name, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = opened(shared)
         for b in batches:
-            margin = shared.value.margins([term_slots(t) for t in b.column(b.num_columns - 1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(margin, -30, 30))))], names=[*b.schema.names[:-1], "score"])
+            margin = model.margins([term_slots(t) for t in b.column(b.num_columns - 1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(margin, -30, 30))))], names=[*b.schema.names[:-1], name])
 
-    return docs.select(*keep, F.col("text").cast("binary").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").cast("binary").alias(unused(docs, "_text"))).mapInArrow(run, schema)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for each document row."""
     docs = documents(spark, sf_dir)
     out = score(docs, train(docs, labels(spark, sf_dir)))
     return out.select("doc_id", (split_remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = 0.5) -> DataFrame:
-    """Drop the documents whose score reaches the threshold. Documents without text stay."""
+    """Drop the documents whose score reaches the threshold; others stay as they are, all columns, whatever their names.
+
+    Null and empty texts have the score of no terms; equal texts have equal scores, so repeated rows go or stay together. Without labels all
+    scores are 0.5 and nothing is dropped. An empty table gives no rows.
+    """
+    name = unused(docs, "score")
     model = train(docs, labels(spark, sf_dir))
-    return score(docs, model, docs.columns).filter(F.col("score") < threshold).select(*docs.columns)
+    if not model.rows:
+        return docs
+    return score(docs, model, docs.columns, name).filter(F.col(f"`{name}`") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
