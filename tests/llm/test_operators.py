@@ -239,7 +239,7 @@ def test_decontamination(spark, none):
     df = spark.createDataFrame([
         (1, "noise here. If Bob buys 7 apples for 9 dollars and then Bob gives 4 apples away how many are left? yes"),
         (2, "If Bob buys 7 apples for 9 dollars and then Carl gives 4 apples away how many are left"),  # fillers differ
-        (3, None), (4, ""), (5, "nothing of the kind stands in this text, not even a part of it"), (6, "a short one"), (1, "noise"),
+        (3, None), (4, ""), (5, "nothing of the kind stands in this text, not even a part of it"), (6, "A heading:\nShort one\nmore"), (7, "not a short one here"), (1, "noise"),
     ], "doc_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontamination.leaks(df, bench).collect()} == {(1, 1), (6, 4)}
     assert decontamination.leaks(none, bench).count() == 0
@@ -261,6 +261,15 @@ def test_decontamination_of_fillers_and_short_items(spark):
     assert set(got) == {(1, 1), (2, 2), (3, 3), (5, 4), (6, 4), (7, 4)} and got[1, 1] == 5 and got[2, 2] == 5
 
 
+def test_decontamination_of_units_and_tiny_items(spark):
+    item = "If Anna has 12 kg 5 m 7 s and 9 cm of 3 g"
+    bench = spark.createDataFrame([(1, item), (2, "The"), (3, "capital of")], "item_id long, text string")
+    df = spark.createDataFrame([
+        (1, "Here: " + item), (2, "so, if Bob has 13 kg 6 m 8 s and 10 cm of 4 g"), (3, "The capital of the land. The end"), (4, "if Bob has 13 kg and 6 m of rope")
+    ], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.leaks(df, bench).collect()} == {(1, 1), (2, 1)}
+
+
 def test_decontamination_keeps_windows_beside_a_mixed_filler(spark):
     words = "the quick brown fox jumps over a lazy dog while seven small birds watch from their high branches and sing all day about summer"
     bench = spark.createDataFrame([(1, f"then 5 came. {words} until 5 left")], "item_id long, text string")
