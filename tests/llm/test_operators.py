@@ -345,6 +345,28 @@ def test_quality_rules(spark, docs, rows, none):
     assert quality_rules.apply_rules(docs).count() == len(rows) and quality_rules.apply_rules(none).count() == 0
 
 
+def test_minimum_determinant_against_exact(spark):
+    """On groups of 12 rows all subsets of 9 can be gone through."""
+    from itertools import combinations
+
+    rng, floor = np.random.default_rng(15), {x: 0.3 for x in quality_rules.STATS}
+    groups = {f"g{k}": np.r_[rng.normal(k, 1.0, (9, 5)), rng.normal(k + 9, 0.5, (3, 5))] for k in range(4)}
+    rows = spark.createDataFrame([(g, *map(float, x)) for g, a in groups.items() for x in a], "grp string, " + ", ".join(f"{x} double" for x in quality_rules.STATS))
+    got = {r.grp: r for r in quality_rules.minimum_determinant(quality_rules.written(rows), floor).collect()}
+    logdet = lambda a: np.linalg.slogdet(np.cov(a.T, bias=True) + np.eye(5) * 0.09)[1]
+    for g, a in groups.items():
+        best = min((logdet(a[list(c)]), c) for c in combinations(range(12), 9))
+        assert best[1] == tuple(range(9)) and abs(got[g].logdet - best[0]) < 1e-6 and np.allclose(got[g].m, a[:9].mean(axis=0))
+
+
+def test_quality_rules_pools(spark):
+    """Null languages are no part of the pool of all small groups."""
+    rows = [(i, float(i % 7), None, "s") for i in range(60)] + [(100 + i, 50.0 + i, "xx", f"t{i}") for i in range(10)]
+    df = quality_rules._grouped(spark.createDataFrame(rows, "id long, x double, lang string, source string"), 50)
+    by = {r.grp: r.n for r in df.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert sorted(by.values()) == [10, 60]
+
+
 def test_quality_rules_reject_repetition_alone(spark):
     """Documents that differ from a clean group only in duplicate lines, or only in repeated words."""
     rng = random.Random(14)
