@@ -303,6 +303,26 @@ def test_toxicity(spark, none):
     assert toxicity.score(none, empty).count() == 0 and toxicity.score(df, empty).count() == len(docs)
 
 
+def test_toxicity_learns_pairs():
+    """A group's name is as common among harmless rows as among toxic ones, and an insult too; only together they are toxic."""
+    rng, names = np.random.default_rng(16), [b"term%d" % i for i in range(400)]
+    docs, y = [], []
+    for i in range(3000):
+        insult, group = rng.random() < 0.3, rng.random() < 0.5
+        toxic = insult and group
+        if insult and not group and rng.random() < 0.6:
+            toxic, insult = False, False
+        docs.append(b" ".join([*rng.choice(names, 40), *([b"insult"] if insult else []), *([b"group"] if group else [])]))
+        y.append(float(toxic))
+    sets, y = [toxicity.term_slots(x) for x in docs], np.array(y)
+    model = toxicity.FactorizationMachine().fit(sets[:2500], y[:2500])
+    assert set(toxicity.term_slots(b"insult group").tolist()) <= set(model.slots.tolist()) and len(model.slots) < 40
+    guess = model.margins(sets[2500:]) > 0
+    assert (guess == (y[2500:] > 0)).mean() > 0.97
+    alone = model.margins([toxicity.term_slots(x) for x in (b"insult term1", b"group term1", b"insult group term1")])
+    assert alone[2] > 0 > max(alone[:2])
+
+
 def test_quality(spark, none):
     docs, marks = labelled()
     df, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
@@ -407,6 +427,14 @@ def test_licenses(spark, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_licenses_of_a_table(spark):
+    """A table of whole texts takes the place of the fixed list; layout, case and copyright lines do not matter."""
+    text = "The Example Licence\n\nYou may use, copy\nand sub-license this work."
+    known = licenses.digests(spark.createDataFrame([("Example-1.0", text), ("None", None)], "license string, text string"))
+    df = spark.createDataFrame([(1, "Copyright 2021 B\nTHE EXAMPLE LICENSE. You may use, copy and sublicense this work!"), (2, text + " Not.")], "doc_id long, text string")
+    assert [(r.doc_id, r.license, r.whole) for r in licenses.scan(df, known).collect()] == [(1, "Example-1.0", True)]
+
+
 def test_licenses_equal_sql(spark):
     import duckdb
 

@@ -32,11 +32,13 @@ class FactorizationMachine:
     """Logistic second-order machine on sets of slots.
 
     A slot has weights if at least `min_docs` rows hold it and its share among toxic rows differs from that among the
-    others by `least_z` standard errors; else a text's hundreds of neutral terms would drown the few that count.
+    others by `least_z` standard errors, or if beside another slot, itself 2 standard errors off, it moves the share of toxic
+    rows by `pair_z`: a mention of a group may be neutral alone and count next to an insult only. Without such a choice a
+    text's hundreds of neutral terms would drown the few that count.
     """
 
-    def __init__(self, factors: int = FACTORS, epochs: int = 20, rate: float = 0.2, l2: float = 1e-5, min_docs: int = 5, least_z: float = 3.5, batch: int = 64, seed: int = 7) -> None:
-        self.factors, self.epochs, self.rate, self.l2, self.min_docs, self.least_z, self.batch, self.seed = factors, epochs, rate, l2, min_docs, least_z, batch, seed
+    def __init__(self, factors: int = FACTORS, epochs: int = 20, rate: float = 0.2, l2: float = 1e-5, min_docs: int = 5, least_z: float = 3.5, pair_z: float = 5.0, batch: int = 64, seed: int = 7) -> None:
+        self.factors, self.epochs, self.rate, self.l2, self.min_docs, self.least_z, self.pair_z, self.batch, self.seed = factors, epochs, rate, l2, min_docs, least_z, pair_z, batch, seed
         self.bias, self.slots, self.rows = 0.0, np.zeros(0, np.int32), 0
         self.w, self.v = np.zeros(1, np.float32), np.zeros((1, factors), np.float32)
 
@@ -62,6 +64,16 @@ class FactorizationMachine:
             square += np.bincount(row, v * v, n)
         return self.bias + linear + 0.5 * ((sums**2).sum(axis=1) - square), sums
 
+    def _beside(self, k: int, flat: np.ndarray, ends: np.ndarray, y: np.ndarray, n_slots: int) -> np.ndarray:
+        """Which slots move the share of toxic rows among the rows that hold slot k. flat: slot numbers, those of row i from ends[i] on."""
+        rows = np.searchsorted(ends, np.flatnonzero(flat == k), side="right") - 1
+        with_k = np.concatenate([flat[ends[i] : ends[i + 1]] for i in rows.tolist()])
+        n = np.bincount(with_k, minlength=n_slots)
+        toxic = np.bincount(with_k, np.repeat(y[rows], ends[rows + 1] - ends[rows]), n_slots)
+        p = y[rows].mean()
+        spread = np.sqrt(np.maximum(p * (1 - p) * (1 - n / len(rows)) / np.maximum(n, 1), 1e-12))
+        return (n >= self.min_docs) & (n < len(rows)) & (np.abs(toxic / np.maximum(n, 1) - p) >= self.pair_z * spread) & (0 < p < 1)
+
     def fit(self, sets: list[np.ndarray], y: np.ndarray) -> FactorizationMachine:
         positives = float(y.sum())
         self.bias = float(np.log((positives + 0.5) / (len(y) - positives + 0.5)))
@@ -70,9 +82,14 @@ class FactorizationMachine:
             return self
         slots, inv, docs = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         toxic = np.bincount(inv, np.repeat(y, [len(s) for s in sets]), len(slots))
+        ends_of = np.r_[0, np.cumsum([len(s) for s in sets])]
         share, n1, n0 = docs / len(y), max(positives, 1.0), max(len(y) - positives, 1.0)
         z = (toxic / n1 - (docs - toxic) / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
-        self.slots = slots[(docs >= self.min_docs) & (np.abs(z) >= self.least_z)]
+        often = docs >= self.min_docs
+        keep = often & (np.abs(z) >= self.least_z)
+        for k in np.flatnonzero(often & (np.abs(z) >= 2.0)).tolist():
+            keep |= self._beside(k, inv.astype(np.int32), ends_of, y, len(slots))
+        self.slots = slots[keep]
         m, rng = max(1, len(self.slots)), np.random.default_rng(self.seed)
         self.w, self.v = np.zeros(m), rng.normal(0, 0.01, (m, self.factors))
         gw, gv, gb = np.full(m, 1e-6), np.full((m, self.factors), 1e-6), 1e-6
