@@ -32,7 +32,7 @@ class FactorizationMachine:
     """Logistic second-order machine on sets of slots.
 
     A slot has weights if at least `min_docs` rows hold it and its share among toxic rows differs from that among the
-    others by `least_z` standard errors, or if beside another slot, itself 2 standard errors off, it moves the share of toxic
+    others by `least_z` standard errors, or if beside a slot of which that is true it moves the share of toxic
     rows by `pair_z`: a mention of a group may be neutral alone and count next to an insult only. Without such a choice a
     text's hundreds of neutral terms would drown the few that count.
     """
@@ -64,9 +64,8 @@ class FactorizationMachine:
             square += np.bincount(row, v * v, n)
         return self.bias + linear + 0.5 * ((sums**2).sum(axis=1) - square), sums
 
-    def _beside(self, k: int, flat: np.ndarray, ends: np.ndarray, y: np.ndarray, n_slots: int) -> np.ndarray:
-        """Which slots move the share of toxic rows among the rows that hold slot k. flat: slot numbers, those of row i from ends[i] on."""
-        rows = np.searchsorted(ends, np.flatnonzero(flat == k), side="right") - 1
+    def _beside(self, rows: np.ndarray, flat: np.ndarray, ends: np.ndarray, y: np.ndarray, n_slots: int) -> np.ndarray:
+        """Which slots move the share of toxic rows among the given rows. flat: slot numbers, those of row i from ends[i] on."""
         with_k = np.concatenate([flat[ends[i] : ends[i + 1]] for i in rows.tolist()])
         n = np.bincount(with_k, minlength=n_slots)
         toxic = np.bincount(with_k, np.repeat(y[rows], ends[rows + 1] - ends[rows]), n_slots)
@@ -87,8 +86,11 @@ class FactorizationMachine:
         z = (toxic / n1 - (docs - toxic) / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
         often = docs >= self.min_docs
         keep = often & (np.abs(z) >= self.least_z)
-        for k in np.flatnonzero(often & (np.abs(z) >= 2.0)).tolist():
-            keep |= self._beside(k, inv.astype(np.int32), ends_of, y, len(slots))
+        strong = np.flatnonzero(keep[inv])
+        row, slot = np.searchsorted(ends_of, strong, side="right") - 1, inv[strong]
+        flat = inv.astype(np.int32)
+        for k in np.unique(slot).tolist():
+            keep |= self._beside(row[slot == k], flat, ends_of, y, len(slots))
         self.slots = slots[keep]
         m, rng = max(1, len(self.slots)), np.random.default_rng(self.seed)
         self.w, self.v = np.zeros(m), rng.normal(0, 0.01, (m, self.factors))
