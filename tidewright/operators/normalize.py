@@ -7,45 +7,33 @@ from pyspark.sql import functions as F
 
 from tidewright.functions.text import ladder, normalized
 
-#: Words that negate, as a whole word or at its start, and words of weak and strong degree.
-NEGATORS = ["안", "덜", "not", "no", "don't", "doesn't", "never", "without"]
-NEGATING_STARTS = ["아닌", "아니", "않", "못", "없"]
-WEAK = ["조금", "약간", "살짝", "slightly", "bit"]
-STRONG = ["매우", "정말", "너무", "진짜", "very", "really", "extremely"]
-#: Patterns of dates, in the order in which they are tried.
-DATE_KINDS = [
-    ("AbsoluteDate", r"(?i)\d{4}\s*년|\d{1,2}\s*월\s*\d{1,2}\s*일|(january|february|march|april|may|june|july|august|september|october|november|december)\s+\d+|\d{4}[-/]\d{1,2}[-/]\d{1,2}"),
-    ("Frequency", r"(?i)매일|매번|하루에?\s*\d+\s*번|[주일]\s*\d+\s*[회번]|daily|every\s*day|once\s*a\s*day|\d+\s*times?\s*(a|per)\s*(day|week)"),
-    ("Duration", r"(?i)\d+\s*(주|일|달|개월|년)|[한두세]\s*달|[일이]주일|\d+\s*(weeks?|days?|months?|years?)"),
-]
-CONTEXTS = [
-    ("day_part", r"아침|저녁|밤|오전|오후|낮|새벽|morning|evening|night|afternoon"),
-    ("routine_step", r"(세안|클렌징|샤워)\s?후|화장\s?전|after cleansing|after washing|before makeup"),
-    ("season", r"봄|여름|가을|겨울|환절기|장마|spring|summer|fall|autumn|winter"),
-]
-
-
-def negations(tokens: Column) -> Column:
-    """How many tokens negate."""
-    starts = lambda t: F.when(F.array_contains(F.array(*map(F.lit, NEGATORS)), t), True).otherwise(t.rlike("^(" + "|".join(NEGATING_STARTS) + ")"))
-    return F.size(F.filter(tokens, starts))
-
-
-def phrases(rows: DataFrame, attributes: DataFrame, sentiments: DataFrame) -> DataFrame:
+def _listed(dictionary: DataFrame, kind: str) -> list[str]:
+    """Terms of one kind of a configured table (term, kind); its rows are few."""
+    return sorted(r["term"] for r in dictionary.filter(F.col("kind") == kind).select("term").distinct().collect())
+
+
+def negations(tokens: Column, words: list[str], starts: list[str]) -> Column:
+    """How many tokens negate: those that are one of the words or begin with one of the starts."""
+    begins = lambda t: F.exists(F.array(*map(F.lit, starts)).cast("array<string>"), lambda s: t.startswith(s))
+    return F.size(F.filter(tokens, lambda t: t.isin(words) | begins(t)))
+
+
+def phrases(rows: DataFrame, attributes: DataFrame, sentiments: DataFrame, words: DataFrame) -> DataFrame:
     """Adds attr_id, polarity, negated, intensity and confidence to rows of (phrase, attr, sentiment).
 
     attributes: (attr, attr_id); sentiments: (sentiment, polarity), both small dictionaries whose size Spark checks before it
-    broadcasts them. An odd number of negating words turns POS and NEG round. Unknown attributes get an id of their text and 0.7.
+    broadcasts them. words: (term, kind), a configured table of the kinds negator, negating_start, weak and strong. An odd number of
+    negating words turns POS and NEG round. Unknown attributes get an id of their text and 0.7.
     """
-    tokens = F.split(normalized("phrase"), " ")
-    odd = negations(tokens) % 2 == 1
+    tokens, weak, strong = F.split(normalized("phrase"), " "), _listed(words, "weak"), _listed(words, "strong")
+    odd = negations(tokens, _listed(words, "negator"), _listed(words, "negating_start")) % 2 == 1
     out = rows.join(attributes, "attr", "left").withColumn("_s", F.lower(F.trim("sentiment"))).join(sentiments.select(F.col("sentiment").alias("_s"), F.col("polarity").alias("_p")), "_s", "left")
     raw = F.coalesce("_p", F.nullif("sentiment", F.lit("")))
     turned = F.when(odd & (raw == "NEG"), "POS").when(odd & (raw == "POS"), "NEG").otherwise(raw)
-    degree = F.filter(tokens, lambda t: t.isin(WEAK + STRONG))
+    degree = F.filter(tokens, lambda t: t.isin(weak + strong))
     return out.withColumns({
         "negated": odd, "polarity": turned, "confidence": F.when(F.col("attr_id").isNull(), 0.7).otherwise(1.0),
-        "intensity": F.when(F.size(degree) == 0, 1.0).when(F.get(degree, F.lit(0)).isin(WEAK), 0.4).otherwise(1.5),
+        "intensity": F.when(F.size(degree) == 0, 1.0).when(F.get(degree, F.lit(0)).isin(weak), 0.4).otherwise(1.5),
         "attr_id": F.coalesce("attr_id", F.concat(F.lit("bee_attr_"), normalized("attr"))),
     }).drop("_s", "_p")
 
@@ -72,11 +60,14 @@ def flat_aliases(aliases: DataFrame, most_steps: int = 32) -> DataFrame:
     return aliases.sparkSession.createDataFrame(out, "alias string, canonical string")
 
 
-def dates(text: Column) -> Column:
-    """(kind, value, context) of a date mention."""
+def dates(text: Column, patterns: DataFrame) -> Column:
+    """(kind, value, context) of a date mention. patterns: (role, name, pattern, ord), a configured table: the patterns of the role
+    kind are tried in order, and what none of them fits has a context, by those of the role context."""
+    rows = patterns.orderBy("ord").collect()
+    tried = lambda role: [(r["name"], r["pattern"]) for r in rows if r["role"] == role]
     value = normalized(text)
-    kind = ladder(text, DATE_KINDS, "TemporalContext")
-    return F.struct(kind.alias("kind"), value.alias("value"), F.when(kind == "TemporalContext", ladder(value, CONTEXTS, "general")).alias("context"))
+    kind = ladder(text, tried("kind"), "TemporalContext")
+    return F.struct(kind.alias("kind"), value.alias("value"), F.when(kind == "TemporalContext", ladder(value, tried("context"), "general")).alias("context"))
 
 
 def relations(rows: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -107,7 +98,11 @@ def concept_ids(rows: DataFrame, column: str, aliases: DataFrame) -> DataFrame:
 
 def user_facts(profiles: DataFrame, paths: list[tuple[str, str, str | None, str]]) -> DataFrame:
     """(user_id, edge_type, dst_id, scope, source) from arrays of nested profiles, in one pass. paths: (column path, edge, scope, source)."""
-    items = [F.transform(F.coalesce(F.col(p), F.array()), lambda v, e=e, s=s, o=o: F.struct(F.lit(e).alias("edge_type"), normalized(v).alias("dst_id"), F.lit(s).cast("string").alias("scope"), F.lit(o).alias("source"))) for p, e, s, o in paths]
+    def facts(path: str, edge: str, scope: str | None, source: str) -> Column:
+        told = lambda v: F.struct(F.lit(edge).alias("edge_type"), normalized(v).alias("dst_id"), F.lit(scope).cast("string").alias("scope"), F.lit(source).alias("source"))
+        return F.transform(F.coalesce(F.col(path), F.array()), told)
+
+    items = [facts(*path) for path in paths]
     return profiles.select("user_id", F.explode(F.concat(*items)).alias("x")).select("user_id", "x.*").filter("dst_id <> ''")
 
 

@@ -81,7 +81,9 @@ def prefilter(products: DataFrame, avoided: DataFrame, preferred: DataFrame | No
 
 
 def meets_constraints(products: DataFrame, constraints: DataFrame) -> DataFrame:
-    """(query_id, product_id, state): constraints are OR inside a family and AND across; met, failed, or unknown where a product has no key at all.
+    """(query_id, product_id, state) of products that hold a key of a query: met or failed; constraints are OR inside a family and AND across.
+
+    `serving.constraint_verdicts` gives all products, those without any key as unknown.
 
     products: product_id, key; constraints: query_id, family, key.
     """

@@ -43,7 +43,8 @@ _PHRASES = "SELECT p_partkey AS phrase_id, CASE p_size % 3 WHEN 0 THEN 'not ' WH
 def phrases(spark, d):
     attrs = spark.createDataFrame([("ECONOMY", "a1"), ("SMALL", "a2")], "attr string, attr_id string")
     tone = spark.createDataFrame([("good", "POS"), ("bad", "NEG")], "sentiment string, polarity string")
-    return N.phrases(table(spark, d, _PHRASES), attrs, tone).select("phrase_id", "attr_id", "polarity", "negated", "confidence", "intensity")
+    words = spark.createDataFrame([("not", "negator"), ("never", "negator"), ("un", "negating_start"), ("bit", "weak"), ("very", "strong")], "term string, kind string")
+    return N.phrases(table(spark, d, _PHRASES), attrs, tone, words).select("phrase_id", "attr_id", "polarity", "negated", "confidence", "intensity")
 
 
 def keywords(spark, d):
@@ -56,7 +57,10 @@ _DATES = "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN CAST(CAST(o_orderda
 
 
 def dates(spark, d):
-    return table(spark, d, _DATES).select("o_orderkey", N.dates(F.col("t")).alias("x")).select("o_orderkey", "x.kind", "x.value", "x.context")
+    patterns = spark.createDataFrame([
+        ("kind", "AbsoluteDate", r"\d{4}-\d{2}-\d{2}", 1), ("kind", "Frequency", r"(?i)\d+\s*times", 2), ("kind", "Duration", r"(?i)\d+\s*weeks?", 3), ("context", "day_part", "morning|evening", 4),
+    ], "role string, name string, pattern string, ord int")
+    return table(spark, d, _DATES).select("o_orderkey", N.dates(F.col("t"), patterns).alias("x")).select("o_orderkey", "x.kind", "x.value", "x.context")
 
 
 _GROUPS = [("fastener", "bolt|screw|nut"), ("jewel", "ring"), ("gadget", "widget|gear")]
