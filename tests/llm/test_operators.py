@@ -134,6 +134,105 @@ def test_repeats(docs, rows, none):
     assert repeats.without_repeats(none).count() == 0
 
 
+def test_repeats_of_one_id_with_two_texts(spark):
+    """A doc_id that stands for two texts: nothing that occurs only once is lost."""
+    rng = random.Random(18)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    one, two, three = (" ".join(word() for _ in range(40)) for _ in range(3))
+    rows = [(1, one), (1, two), (2, one + " " + three), (None, one), (None, one)]
+    got = {(r.doc_id, bytes(r.text).decode()): bytes(r.kept).decode() for r in repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    first = min((one, two), key=lambda t: got[1, t] != t)
+    assert got[1, one] == one and got[1, two] == two and got[None, one] == one and got[2, one + " " + three].endswith(three) and first
+
+
+CLASHES = ["score", "_id", "own_id", "_removed", "_kept", "_gone", "gone", "_bad", "_text", "counts", "SCORE2"]
+
+
+def test_stages_keep_clashing_columns(spark, tmp_path, rows):
+    """Extra columns with the names used inside come out of every filtering stage as they were, in their order."""
+    import corpus_pipeline
+
+    given = [(i, t, lang, source, n, *[f"{c}{i}" for c in CLASHES]) for i, t, lang, source, n, *_ in rows]
+    df = spark.createDataFrame(given, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES))
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(0, 60, 2)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "if Anna has 12 kg 5 m 7 s and 9 cm of 3 g")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {r[0]: r[5:] for r in given}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, str(tmp_path))
+        got = out.collect()
+        assert out.columns == df.columns and got, name
+        assert all(tuple(r)[5:] == want[r[0]] for r in got), name
+        assert stage(spark, df.limit(0), str(tmp_path)).count() == 0, name
+
+
+def test_queries_follow_their_contracts(spark):
+    d = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    held = lambda i, m: zlib.crc32(str(i).encode()) % m
+    fps = {r.doc_id: r for r in simhash.op1_simhash(spark, d).collect()}
+    assert {i: r.fingerprint for i, r in fps.items()} == {i: f"{reference_fingerprint(r.text):016x}" for i, r in docs.items()}
+    names = sorted(docs)
+    near = closed(len(names), [(a, b) for a in range(len(names)) for b in range(a) if (int(fps[names[a]].fingerprint, 16) ^ int(fps[names[b]].fingerprint, 16)).bit_count() <= 4])
+    assert [fps[i].component_id for i in names] == [names[k] for k in near]
+    for op, threshold, query in ((2, 0.3, quality.op2_quality), (9, 0.5, toxicity.op9_toxicity)):
+        out = query(spark, d).collect()
+        assert {r.doc_id for r in out} == set(docs) and all(r.held_out == (held(r.doc_id, 5) == 0) and r.predicted == int(r.score >= threshold) and 0 <= r.score <= 1 for r in out), op
+    out = language_id.op3_language_id(spark, d).collect()
+    langs = {r.lang for r in docs.values() if r.lang}
+    assert all(r.held_out == (held(r.doc_id, 4) == 2) and r.lang_pred in langs | {"und"} for r in out)
+    told = [r.lang_pred == docs[r.doc_id].lang for r in out if r.held_out and docs[r.doc_id].lang]
+    assert np.mean(told) > 0.95
+    want = {x[0]: x[1:] for x in repeats.brute_force([(i, (r.text or "").encode()) for i, r in docs.items()])}
+    assert {r.doc_id: tuple(r)[1:] for r in repeats.op7_suffix_dedup(spark, d).collect()} == want
+
+
+def test_workers_need_no_package(tmp_path):
+    """From a folder where only the driver can import the package, as on a cluster."""
+    import subprocess
+    import sys
+
+    from tests.conftest import ROOT
+
+    code = (
+        f"import sys; sys.path.insert(0, {ROOT!r})\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').config('spark.checkpoint.dir', 'shared').getOrCreate()\n"
+        "from tidewright.llm import registry, near_duplicates\n"
+        "d = '/root/testdata/sf0.001'\n"
+        "docs = spark.read.parquet(d + '/documents.parquet').limit(40)\n"
+        "assert near_duplicates.near_duplicate_stage(spark, docs, d).count() > 0\n"
+        "for n in ('op2_quality', 'op3_language_id', 'op6_decontamination', 'op7_suffix_dedup', 'op9_toxicity'):\n"
+        "    assert registry.queries()[n](spark, d).count() > 0, n\n"
+    )
+    import os
+
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+
+
+def test_line_dedup_recall(spark):
+    """Of all pairs of lines with an edit similarity of 0.8, nine in ten at least come into one group; short and long lines, few and many edits."""
+    rng = random.Random(19)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    lines = []
+    for k in range(240):
+        base = [word() for _ in range([6, 9, 14, 30, 60, 500][k % 6])]
+        copy = list(base)
+        for _ in range(max(1, len(base) // [20, 12][k % 2])):
+            copy[rng.randrange(len(copy))] = word()
+        lines += [" ".join(base), " ".join(copy)]
+    def distance(a: str, b: str) -> int:
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    gone = {r.doc_id for r in line_dedup.duplicate_lines(df).collect()}
+    alike = [2 * k + 1 for k in range(240) if len(lines[2 * k]) > 1000 or distance(lines[2 * k], lines[2 * k + 1]) <= 0.2 * max(map(len, lines[2 * k : 2 * k + 2]))]
+    assert len(alike) > 150 and len(gone & set(alike)) >= 0.9 * len(alike) and gone <= set(range(1, 480, 2)), (len(alike), len(gone & set(alike)))
+
+
 def test_merge_transforms():
     rng = random.Random(5)
     strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(10, 60))) for _ in range(30)]

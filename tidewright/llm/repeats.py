@@ -234,13 +234,25 @@ def _merge_shards(pieces: DataFrame, length: int, shard_bytes: int = 1 << 20) ->
     return pieces.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start").mapInArrow(run, "doc_id long, start long, n long")
 
 
-def repeated_strings(docs: DataFrame, length: int = 100) -> DataFrame:
+def one_text_per_id(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with `counts`: false for rows without doc_id and for those whose doc_id has other texts of a lesser hash.
+
+    Texts are looked at only where a doc_id is repeated.
+    """
+    again = written(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 AND doc_id IS NOT NULL").select("doc_id"))
+    present = docs.withColumn("counts", F.col("doc_id").isNotNull())
+    if again.isEmpty():
+        return present
+    least = written(docs.join(again, "doc_id").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("least")))
+    return present.join(least, "doc_id", "left").withColumn("counts", F.col("counts") & (F.col("least").isNull() | (F.xxhash64("text") == F.col("least")))).drop("least")
+
+
+def repeated_strings(rows: DataFrame, length: int = 100) -> DataFrame:
     """(doc_id, start, n): runs of n strings of `length` bytes, the first at byte `start`, that also start earlier.
 
-    Earlier means in a smaller doc_id, or before in the same document. Null texts are empty; rows without doc_id take no part. Equal
-    rows count once; rows with one doc_id and different texts are taken for parts of one document and share their removals.
+    rows: doc_id and text (binary), one text for a doc_id. Earlier means in a smaller doc_id, or before in the same document.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).filter("doc_id IS NOT NULL")
+    docs = rows
     met = written(_meet_by_anchor(_find_stretches(rows, length)))
     mixed = met.filter("kind = 2").select("doc_id", F.struct("anchor", "start", "n").alias("x"))
     wanted = written(mixed.groupBy("doc_id").agg(F.collect_list("x").alias("want")))
@@ -267,10 +279,16 @@ def repeated_strings(docs: DataFrame, length: int = 100) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
-    """(doc_id, text, kept, n_bytes, n_removed, n_spans): kept is what is left of the bytes, joined."""
-    gone = repeated_strings(docs, length).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
-    gone = written(gone).select(F.col("doc_id").alias("_id"), "gone")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")).join(gone, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "gone")
+    """(doc_id, text, kept, n_bytes, n_removed, n_spans), one row per row of docs: kept is what is left of the bytes, joined.
+
+    Null and empty texts have nothing to remove; an empty table gives no rows; very long texts are treated whole; other columns of docs are not
+    looked at. Equal rows count once and lose the same bytes. Of rows with one doc_id and different texts the one of the least hash takes
+    part; the others stay whole and are compared with nothing, as do rows without doc_id.
+    """
+    given = one_text_per_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")))
+    gone = repeated_strings(given.filter("counts").select("doc_id", "text"), length).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
+    gone = written(gone).select(F.col("doc_id").alias("own_id"), "gone")
+    rows = given.join(gone, F.col("doc_id") == F.col("own_id"), "left").select("doc_id", "text", F.when(F.col("counts"), F.col("gone")).alias("gone"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -296,6 +314,7 @@ def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each document row at 100 bytes."""
     return without_repeats(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
