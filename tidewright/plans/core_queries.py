@@ -155,7 +155,7 @@ def collaborative(spark, d):
 
 
 def owned_boost(spark, d):
-    return S.owned_boost(owned(spark, d).filter("user_id % 5 = 0"), near(spark, d))
+    return S.owned_boost(owned(spark, d), near(spark, d))
 
 
 def related_products(spark, d):
@@ -194,7 +194,7 @@ QUERIES = {
     "comentions": (comentions, f"WITH {_COM} SELECT a, b, reviews, least(reviews / 5, 1.0::DOUBLE) AS strength, CAST(row_number() OVER (PARTITION BY a ORDER BY least(reviews / 5, 1.0) DESC, reviews DESC, b) AS INT) AS rank FROM u QUALIFY rank <= 10"),
     "similar_users": (similar_users, f"WITH {_USR} SELECT * FROM nu"),
     "collaborative_products": (collaborative, f"WITH {_USR}, {_OWN} SELECT a AS user_id, product_id, least(round(sum(similarity), 4), 1.0::DOUBLE) AS strength FROM nu JOIN o ON o.user_id = b WHERE NOT EXISTS (SELECT 1 FROM o m WHERE m.user_id = a AND m.product_id = o.product_id) GROUP BY 1, 2"),
-    "owned_boost": (owned_boost, f"WITH {_NEAR}, {_OWN} SELECT o.user_id, b AS product_id, round(least(max(score) / 30, 1.0::DOUBLE), 4) AS boost FROM o JOIN near ON a = o.product_id WHERE o.user_id % 5 = 0 AND NOT EXISTS (SELECT 1 FROM o m WHERE m.user_id = o.user_id AND m.product_id = b) GROUP BY 1, 2"),
+    "owned_boost": (owned_boost, f"WITH {_NEAR}, {_OWN} SELECT o.user_id, b AS product_id, round(least(max(score) / 30, 1.0::DOUBLE), 4) AS boost FROM o JOIN near ON a = o.product_id WHERE NOT EXISTS (SELECT 1 FROM o m WHERE m.user_id = o.user_id AND m.product_id = b) GROUP BY 1, 2"),
     "related_products": (related_products, f"WITH {_NEAR}, q AS (SELECT p_brand AS query_id, CAST(p_partkey AS VARCHAR) AS product_id FROM part WHERE p_size = 7), x AS (SELECT query_id, b AS product_id, max(score) AS score FROM q JOIN near ON a = product_id WHERE NOT EXISTS (SELECT 1 FROM q y WHERE y.query_id = q.query_id AND y.product_id = b) GROUP BY 1, 2) SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS INT) AS rank FROM x QUALIFY rank <= 5"),
     "top_graph": (top_graph, "WITH e AS (SELECT 'c' || CAST(o_custkey AS VARCHAR) AS src, 'p' || CAST(l_partkey AS VARCHAR) AS dst, l_returnflag AS kind, max(l_quantity) AS weight FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2, 3), n AS (SELECT node FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY 1 ORDER BY count(*) DESC, node LIMIT 2500) SELECT * FROM e WHERE src IN (SELECT node FROM n) AND dst IN (SELECT node FROM n)"),
     "two_hops": (two_hops, "WITH e AS (SELECT DISTINCT p_brand AS src, p_name AS dst FROM part UNION SELECT DISTINCT p_name, p_type FROM part) SELECT x.src, y.dst, count(*) AS paths FROM e x JOIN e y ON x.dst = y.src WHERE x.src <> y.dst AND NOT EXISTS (SELECT 1 FROM e z WHERE z.src = x.src AND z.dst = y.dst) GROUP BY 1, 2"),

@@ -347,7 +347,7 @@ def rating_stats(spark, d):
 
 
 def predicate_coverage(spark, d):
-    return W.predicate_coverage(table(spark, d, _FACTS), signals(spark, d).filter("target_product_id < '3'"))
+    return W.predicate_coverage(table(spark, d, _FACTS), signals(spark, d))
 
 
 def promoted_counts(spark, d):
@@ -452,7 +452,7 @@ QUERIES = {
     "retention": (retention, "SELECT 'orders' AS \"table\", count(*) AS rows, count(*) > 1000 AS over FROM orders UNION ALL SELECT 'parts', count(*), FALSE FROM part"),
     "term_clusters": (term_clusters, None),
     "rating_stats": (rating_stats, "WITH r AS (SELECT l_linestatus AS channel, l_partkey AS product_id, CASE l_returnflag WHEN 'N' THEN NULL ELSE CAST(l_quantity AS BIGINT) % 5 + 1 END AS score, l_shipdate >= DATE '2001-05-05' AS new FROM lineitem) SELECT channel, product_id, count(*) AS n, count(score) AS n_scored, round(avg(score), 4) AS avg_score, min(score) AS min_score, max(score) AS max_score, count(*) FILTER (new) AS n_recent, round(avg(score) FILTER (new), 4) AS avg_recent FROM r GROUP BY 1, 2"),
-    "predicate_coverage": (predicate_coverage, f"WITH f AS ({_FACTS}), s AS (SELECT review_id, count(*) AS n FROM ({T.SIGNALS}) WHERE target_product_id < '3' GROUP BY 1) SELECT predicate, count(DISTINCT fact_id) AS n_facts, CAST(sum(coalesce(n, 0)) AS BIGINT) AS n_signals, bool_or(n IS NOT NULL) AS covered FROM f LEFT JOIN s USING (review_id) GROUP BY 1"),
+    "predicate_coverage": (predicate_coverage, f"WITH f AS ({_FACTS}), s AS (SELECT review_id, count(*) AS n FROM ({T.SIGNALS}) GROUP BY 1) SELECT predicate, count(DISTINCT fact_id) AS n_facts, CAST(sum(coalesce(n, 0)) AS BIGINT) AS n_signals, bool_or(n IS NOT NULL) AS covered FROM f LEFT JOIN s USING (review_id) GROUP BY 1"),
     "promoted_counts": (promoted_counts, f"WITH {_AGG} SELECT window_type, count(*) FILTER (is_promoted) AS n_promoted, count(*) AS n FROM agg GROUP BY 1"),
     "latest_runs": (latest_runs, "SELECT o_orderkey AS run_id, CASE o_orderstatus WHEN 'P' THEN NULL ELSE o_orderdate END AS completed_at, o_orderstatus AS status FROM orders ORDER BY completed_at DESC NULLS LAST, run_id DESC LIMIT 10"),
     "top_event_types": (top_event_types, "SELECT event_type, count(*) AS n FROM events WHERE CAST(json_extract(props, '$.k') AS INT) >= 50 GROUP BY 1"),
