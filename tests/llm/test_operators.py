@@ -209,6 +209,42 @@ def test_workers_need_no_package(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
 
 
+def distance(a: str, b: str) -> int:
+    """Edit distance, row by row."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_alike_equals_brute_force():
+    """Near and far pairs, common ends, one text within the other, letters outside ASCII, at and around the limit."""
+    rng, seen = random.Random(23), set()
+    for k in range(1500):
+        a = "".join(rng.choice("abc é") for _ in range(rng.randint(1, 90)))
+        b = list(a)
+        for _ in range(rng.randint(0, len(a) // 3)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randint(0, 2)] = rng.choice(["", "a", "é", "b c"])
+        b = "".join(b) if k % 5 else "".join(rng.choice("abc é") for _ in range(rng.randint(1, 90)))
+        true = distance(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9)
+        assert line_dedup.alike(a, b, 0.8) == line_dedup.alike(b, a, 0.8) == true, (a, b)
+        seen.add(true)
+    assert seen == {True, False}
+
+
+def test_line_hashes_stay_whole(spark):
+    """Hashes over 2 ** 63 next to small ones, nulls, empty texts and a line of several hundred words."""
+    texts = ["\n".join(f"line number {i} of text {t} goes on" for i in range(40)) for t in range(3)] + [None, "", "\n\n", " ".join(f"w{i}" for i in range(700))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = line_dedup.with_signatures(df).selectExpr("doc_id", "no", "h", "size(keys) AS k").collect()
+    lines = spark.createDataFrame([(d, n, x) for d, t in enumerate(texts) if t for n, x in enumerate(t.split("\n")) if len(x.split()) > 4], "d long, n int, x string")
+    assert {(r.doc_id, r.no, r.h) for r in got} == {tuple(r) for r in lines.selectExpr("d", "n", "xxhash64(x)").collect()} and len(got) == 121
+    assert all(r.k > 0 for r in got)
+
+
 def test_line_dedup_recall(spark):
     """Of all pairs of lines with an edit similarity of 0.8, nine in ten at least come into one group; short and long lines, few and many edits."""
     rng = random.Random(19)
@@ -220,13 +256,6 @@ def test_line_dedup_recall(spark):
         for _ in range(max(1, len(base) // [20, 12][k % 2])):
             copy[rng.randrange(len(copy))] = word()
         lines += [" ".join(base), " ".join(copy)]
-    def distance(a: str, b: str) -> int:
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
     gone = {r.doc_id for r in line_dedup.duplicate_lines(df).collect()}
     alike = [2 * k + 1 for k in range(240) if len(lines[2 * k]) > 1000 or distance(lines[2 * k], lines[2 * k + 1]) <= 0.2 * max(map(len, lines[2 * k : 2 * k + 2]))]
