@@ -10,6 +10,7 @@ from tidewright.llm.decontamination import op6_decontamination
 from tidewright.llm.language_id import op3_language_id
 from tidewright.llm.licenses import op10_license_scan, op10_sql
 from tidewright.llm.line_dedup import op5_line_dedup
+from tidewright.llm.mixing import op12_mixing, op12_sql
 from tidewright.llm.packing import op8_packing
 from tidewright.llm.quality import op2_quality
 from tidewright.llm.quality_rules import op4_quality_rules
@@ -32,8 +33,9 @@ def queries() -> dict[str, Query]:
         "op8_packing": op8_packing,
         "op9_toxicity": op9_toxicity,
         "op10_license_scan": op10_license_scan,
+        "op12_mixing": op12_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_license_scan": op10_sql()}
+    return {"op10_license_scan": op10_sql(), "op12_mixing": op12_sql()}
