@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewright.llm.alignment import op13_alignment
 from tidewright.llm.decontamination import op6_decontamination
 from tidewright.llm.language_id import op3_language_id
 from tidewright.llm.licenses import op10_license_scan, op10_sql
@@ -14,6 +15,7 @@ from tidewright.llm.mixing import op12_mixing, op12_sql
 from tidewright.llm.packing import op8_packing
 from tidewright.llm.quality import op2_quality
 from tidewright.llm.quality_rules import op4_quality_rules
+from tidewright.llm.ranked_search import op11_ranked_search, op11_sql
 from tidewright.llm.repeats import op7_suffix_dedup
 from tidewright.llm.simhash import op1_simhash
 from tidewright.llm.toxicity import op9_toxicity
@@ -33,9 +35,11 @@ def queries() -> dict[str, Query]:
         "op8_packing": op8_packing,
         "op9_toxicity": op9_toxicity,
         "op10_license_scan": op10_license_scan,
+        "op11_ranked_search": op11_ranked_search,
         "op12_mixing": op12_mixing,
+        "op13_alignment": op13_alignment,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_license_scan": op10_sql(), "op12_mixing": op12_sql()}
+    return {"op10_license_scan": op10_sql(), "op11_ranked_search": op11_sql(), "op12_mixing": op12_sql()}
