@@ -64,7 +64,7 @@ def _rows(spark, d):
 
 
 def review_mentions(spark, d):
-    return G.mentions(_rows(spark, d)).withColumnsRenamed({"start": "begins_at", "end": "ends_at"})
+    return G.mentions(_rows(spark, d)).select("review_id", "mention", "source", "type", "word", F.coalesce("start", F.lit(-1)).alias("begins_at"), F.coalesce("end", F.lit(-1)).alias("ends_at"), "placeholder", "sentiment", "confidence", "entity_id")
 
 
 def review_entities(spark, d):
@@ -240,7 +240,7 @@ raw AS (
 )
 """
 _MENTIONS_SQL = _ROW_SQL + """
-SELECT review_id, mention, source, type, word, start AS begins_at, "end" AS ends_at, kind AS placeholder, tone AS sentiment,
+SELECT review_id, mention, source, type, word, COALESCE(start, -1) AS begins_at, COALESCE("end", -1) AS ends_at, kind AS placeholder, tone AS sentiment,
        CASE source WHEN 'bee' THEN 0.9 WHEN 'relation' THEN 0.8 WHEN 'synthetic' THEN 0.4 ELSE 1.0 END AS confidence, entity_id FROM graph WHERE makes
 """
 _CANDIDATES_SQL = _ROW_SQL + f"""
