@@ -337,7 +337,7 @@ def retention(spark, d):
 
 
 def term_clusters(spark, d):
-    words = table(spark, d, "SELECT lang AS attr, explode(split(text, '\\\\s+')) AS term, 1 AS n FROM documents").filter("length(term) > 6")
+    words = table(spark, d, "SELECT lang AS attr, explode(split(text, '\\\\s+')) AS term, 1 AS n FROM documents").filter("term <> ''")
     return Q.term_clusters(words)
 
 
@@ -388,7 +388,7 @@ def stream_first(spark, d):
 def stream_upsert(spark, d):
     out = new_folder(spark)
     J.run_once(_stream(spark, d), "", f"{out}/state", apply=J.apply_batches(spark, f"{out}/data", ["user_id"]))
-    return spark.read.parquet(f"{out}/data/v=0").select("user_id", "event_id", "event_type")
+    return J.last_version(spark, f"{out}/data").select("user_id", "event_id", "event_type")
 
 
 _EXPLODED = "SELECT kind, reason, count(*) AS n FROM (SELECT 'part' AS kind, concat_ws(',', CASE WHEN p_size > 45 THEN 'big' END, CASE WHEN contains(p_name, 'ring') THEN 'ring' END) AS reason FROM part) WHERE reason <> '' GROUP BY 1, 2"

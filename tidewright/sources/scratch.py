@@ -29,3 +29,9 @@ def saved(df: DataFrame) -> DataFrame:
     path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """df as `saved`, in as many files as there are shuffle partitions: few bytes that a join turns into many rows should not be one task's."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return saved(df.repartition(n, *by))
