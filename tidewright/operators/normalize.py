@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.text import ladder, normalized
+from tidewright.operators.search import contained
 
 def _listed(dictionary: DataFrame, kind: str) -> list[str]:
     """Terms of one kind of a configured table (term, kind); its rows are few."""
@@ -39,8 +40,10 @@ def phrases(rows: DataFrame, attributes: DataFrame, sentiments: DataFrame, words
 
 
 def keywords(rows: DataFrame, dictionary: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """(phrase_id, keyword_id): dictionary surfaces inside a phrase; once each after aliases. dictionary: (surface, keyword_id), small."""
-    met = rows.select("phrase_id", normalized("phrase").alias("_t")).join(F.broadcast(dictionary), F.contains("_t", "surface")).select("phrase_id", "keyword_id")  # a configured dictionary
+    """(phrase_id, keyword_id): dictionary surfaces inside a phrase; once each after aliases. dictionary: (surface, keyword_id). Each distinct phrase is looked at once."""
+    own = rows.select("phrase_id", normalized("phrase").alias("text"))
+    met = contained(own.select("text").distinct(), dictionary.select(F.col("surface").alias("word")).distinct())
+    met = own.join(met, "text").join(dictionary.withColumnRenamed("surface", "word"), "word").select("phrase_id", "keyword_id")
     if aliases is not None:
         met = met.join(aliases, F.col("keyword_id") == F.col("alias"), "left").select("phrase_id", F.coalesce("canonical", "keyword_id").alias("keyword_id"))
     return met.distinct()

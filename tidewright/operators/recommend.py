@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions.text import freshness, popularity, rating_over_four, shrinkage
 from tidewright.operators.profiles import top_n
+from tidewright.operators.search import contained
 
 #: Evidence families of overlap axes.
 FAMILIES = {
@@ -39,10 +40,10 @@ def overlaps(users: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def text_overlaps(users: DataFrame, texts: DataFrame, axis: str = "catalog_keyword") -> DataFrame:
-    """Keywords that stand inside a product's text. The distinct keywords of all users are the small side; Spark checks its size."""
-    words = users.select("key").distinct()
-    met = texts.join(words, F.contains("text", "key"))
-    return users.join(met.select("product_id", "key"), "key").select("user_id", "product_id", F.lit(axis).alias("axis"), "key", F.lit(1.0).alias("strength"))
+    """Keywords that stand inside a product's text. Distinct texts and distinct keywords meet by an equi-join on first letters."""
+    met = contained(texts.select("text").distinct(), users.select(F.col("key").alias("word")).distinct())
+    held = texts.join(met, "text").select("product_id", F.col("word").alias("key"))
+    return users.join(held, "key").select("user_id", "product_id", F.lit(axis).alias("axis"), "key", F.lit(1.0).alias("strength"))
 
 
 def semantic_overlaps(users: DataFrame, evidence: DataFrame, rules: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
