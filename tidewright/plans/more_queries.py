@@ -391,6 +391,29 @@ def stream_upsert(spark, d):
     return J.last_version(spark, f"{out}/data").select("user_id", "event_id", "event_type")
 
 
+def stream_refreshed(spark, d):
+    """Events arrive in three runs of one stream; late ones are held and worked in by the run after, at last by a request for every product."""
+    out, key = new_folder(spark), "spark.sql.streaming.stateStore.providerClass"
+    kind = "product_id string, row_id long, ts timestamp, value double"
+    events = table(spark, d, "SELECT COALESCE(CAST(user_id AS STRING), '') AS product_id, event_id AS row_id, ts, COALESCE(value, 0) AS value FROM events")
+    asked = events.groupBy("product_id").agg(F.lit(None).cast("long").alias("row_id"), F.min("ts").alias("ts"), F.lit(0.0).alias("value"))
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for k in range(4):
+            (events.where(F.pmod("row_id", F.lit(3)) == k) if k < 3 else asked).write.parquet(f"{out}/in/b={k}")
+            J.run_once(J.refresh_states(spark.readStream.schema(kind).parquet(f"{out}/in/*")), f"{out}/data", f"{out}/state")
+    finally:
+        spark.conf.set(key, before)
+    told = spark.read.schema(J.REFRESHED).parquet(f"{out}/data").groupBy("product_id")
+    new = F.when(F.col("kind") == "refreshed", F.struct("n", "total"))
+    return told.agg(F.max(new).alias("x"), F.count_if(F.col("kind") == "held").alias("n_held")).select("product_id", "x.n", F.round("x.total", 2).alias("total"), "n_held")
+
+
+_REFRESHED = """
+WITH e AS (SELECT COALESCE(CAST(user_id AS VARCHAR), '') AS product_id, event_id % 3 AS b, ts, COALESCE(value, 0) AS value FROM events), t AS (SELECT product_id, b, MAX(ts) AS newest FROM e GROUP BY 1, 2)
+SELECT product_id, COUNT(*) AS n, ROUND(SUM(value), 2) AS total, COUNT(*) FILTER (ts < (SELECT MAX(newest) FROM t WHERE t.product_id = e.product_id AND t.b < e.b) - INTERVAL 2 DAY) AS n_held FROM e GROUP BY product_id
+"""
 _EXPLODED = "SELECT kind, reason, count(*) AS n FROM (SELECT 'part' AS kind, concat_ws(',', CASE WHEN p_size > 45 THEN 'big' END, CASE WHEN contains(p_name, 'ring') THEN 'ring' END) AS reason FROM part) WHERE reason <> '' GROUP BY 1, 2"
 _RV = "SELECT * FROM (SELECT i.review_id, coalesce(c.version, 0) + 1 AS version, CASE WHEN deleted THEN CASE WHEN active THEN 'TOMBSTONE' END WHEN c.version IS NULL THEN 'INSERT' WHEN NOT active THEN 'REACTIVATE' WHEN c.payload <> i.payload THEN 'UPDATE' END AS op, i.payload, NOT (deleted AND active) AS active FROM (SELECT o_orderkey AS review_id, CASE o_orderkey % 5 WHEN 0 THEN 'new' ELSE o_orderpriority END AS payload, o_orderkey % 7 = 0 AS deleted FROM orders) i LEFT JOIN (SELECT o_orderkey AS review_id, 1 AS version, o_orderpriority AS payload, o_orderstatus <> 'P' AS active FROM orders WHERE o_orderkey % 3 <> 0) c USING (review_id)) WHERE op IS NOT NULL"
 _SCORE = f"""WITH {_MET}, s AS (SELECT user_id, product_id, axis, round(strength, 2) AS strength FROM met),
@@ -459,5 +482,6 @@ QUERIES = {
     "stream_daily": (stream_daily, "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events WHERE ts < TIMESTAMP '2024-01-27 00:00:00' GROUP BY 1, 2"),
     "stream_trailing": (stream_trailing, "SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 2) AS total FROM events WHERE ts >= TIMESTAMP '2024-01-18 00:00:00' AND ts < TIMESTAMP '2024-01-25 00:00:00' GROUP BY 1"),
     "stream_first": (stream_first, "SELECT event_id, user_id, event_type FROM events"),
+    "stream_refreshed": (stream_refreshed, _REFRESHED),
     "stream_upsert": (stream_upsert, "SELECT user_id, max_by(event_id, (ts, event_id)) AS event_id, max_by(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1"),
 }
