@@ -49,6 +49,42 @@ def keywords(rows: DataFrame, dictionary: DataFrame, aliases: DataFrame | None =
     return met.distinct()
 
 
+def stems(tokens: DataFrame, endings: DataFrame, contractions: list[tuple[str, str]], shortest: int = 2) -> DataFrame:
+    """(token, stem): what is left of a token without its first ending, as it is and with its contracted tail written out; the whole token written out too.
+
+    tokens: token, distinct; endings: (ending, ord), a configured table that a token's ends are looked up in; contractions: (tail, what it stands for).
+    Stems under `shortest` letters are none.
+    """
+    ends = tokens.where("token <> ''").select("token", F.explode(F.sequence(F.lit(1), F.length("token"))).alias("_from"))
+    tail = ends.select("token", F.expr("substring(token, _from)").alias("ending"))
+    kept = tail.join(endings, "ending").where(F.length("token") - F.length("ending") >= shortest)
+    first = kept.groupBy("token").agg(F.min_by("ending", "ord").alias("ending"))
+    bare = first.select("token", F.expr("substring(token, 1, length(token) - length(ending))").alias("stem"), F.lit(shortest).alias("least")).unionByName(tokens.select("token", F.col("token").alias("stem"), F.lit(shortest + 1).alias("least")))
+    full = lambda end, becomes: F.when(F.endswith("stem", F.lit(end)) & (F.length("stem") >= F.col("least")), F.concat(F.expr(f"substring(stem, 1, length(stem) - {len(end)})"), F.lit(becomes)))
+    forms = F.array(F.when(F.col("least") == shortest, F.col("stem")), *[full(*c) for c in contractions])
+    return bare.select("token", F.explode(forms).alias("stem")).where((F.length("stem") >= shortest)).distinct()
+
+
+def stem_keywords(rows: DataFrame, dictionary: DataFrame, endings: DataFrame, contractions: list[tuple[str, str]], words: DataFrame, shortest: int = 2) -> DataFrame:
+    """(phrase_id, keyword_id): surfaces that hold a stem of one of the phrase's words or stand inside it; none for a phrase that negates.
+
+    words: (term, kind) with the kinds negator (a whole word), negating_start and negating_part (anywhere). Tokens, stems and surfaces are looked at once
+    each; both directions are equi-joins.
+    """
+    own, parts = rows.select("phrase_id", normalized("phrase").alias("text")), _listed(words, "negating_part")
+    tokens = F.split("text", " ")
+    no = negations(tokens, _listed(words, "negator"), _listed(words, "negating_start")) > 0
+    for part in parts:
+        no = no | F.contains("text", F.lit(part))
+    said = own.where(~no).select("phrase_id", F.explode(F.array_distinct(tokens)).alias("token"))
+    known = stems(said.select("token").distinct(), endings, contractions, shortest)
+    stem, surface = known.select("stem").distinct(), dictionary.select(normalized("surface").alias("_s")).where("_s <> ''").distinct()
+    inside = contained(stem.withColumnRenamed("stem", "text"), surface.withColumnRenamed("_s", "word")).select(F.col("text").alias("stem"), F.col("word").alias("_s"))
+    around = contained(surface.withColumnRenamed("_s", "text"), stem.withColumnRenamed("stem", "word")).select(F.col("word").alias("stem"), F.col("text").alias("_s"))
+    met = inside.unionByName(around).distinct().join(dictionary.select(normalized("surface").alias("_s"), "keyword_id"), "_s").select("stem", "keyword_id")
+    return said.join(known, "token").join(met, "stem").select("phrase_id", "keyword_id").distinct()
+
+
 def flat_aliases(aliases: DataFrame, most_steps: int = 32) -> DataFrame:
     """(alias, canonical) with chains followed to their end. Raises on a cycle. A configured table: its rows are few."""
     table = {r["alias"]: r["canonical"] for r in aliases.select("alias", "canonical").collect()}

@@ -137,6 +137,19 @@ def review_keyword_facts(spark, d):
     return out.select("fact_id", "review_id", "subject_iri", "object_iri", "polarity", "confidence", "phrase_id")
 
 
+_ENDINGS = ["ation", "tion", "ing", "ent", "en", "er", "e", "s"]
+_CONTRACTED = [("ea", "eau"), ("i", "ie")]
+_NEGATING = [("not", "negator"), ("nicht", "negator"), ("un", "negating_start"), ("xyz", "negating_part")]
+_STEM_SURFACES = [("Anim", "kw_anim"), ("reau", "kw_reau"), ("thes", "kw_thes"), ("onder", "kw_onder"), ("schie", "kw_schie"), ("ed", "kw_ed")]
+
+
+def stem_keywords(spark, d):
+    rows = spark.read.parquet(f"{d}/conversations.parquet").select((F.col("conv_id") * 1000 + F.col("turn")).alias("phrase_id"), F.col("text").alias("phrase"))
+    make = spark.createDataFrame
+    endings, words = make(list(zip(_ENDINGS, range(len(_ENDINGS)), strict=True)), "ending string, ord int"), make(_NEGATING, "term string, kind string")
+    return N.stem_keywords(rows, make(_STEM_SURFACES, "surface string, keyword_id string"), endings, _CONTRACTED, words)
+
+
 _ENTITY_TYPES = [("B-ING", "Ingredient", "Ingredient"), ("ING", "Ingredient", "Ingredient"), ("CAT", "Category", "Category"), ("SCENT", "Color", None)]
 
 
@@ -303,6 +316,15 @@ WITH {_INPUT_SQL}, surfaces AS (SELECT * FROM {_values(_SURFACES, "surface, keyw
 )
 SELECT 'fact:' || md5(concat_ws('|', review_id, subject_iri, 'HAS_KEYWORD', object_iri, COALESCE(polarity, ''), '')) AS fact_id, review_id, subject_iri, object_iri, polarity, MAX(sure)::DOUBLE AS confidence, MIN(phrase_id) AS phrase_id FROM met GROUP BY ALL
 """
+_STEM_SQL = f"""
+WITH t AS (SELECT conv_id * 1000 + turn AS phrase_id, {_norm("text")} AS text FROM conversations), w AS (SELECT phrase_id, text, unnest(string_split(text, ' ')) AS token FROM t),
+bad AS (SELECT DISTINCT phrase_id FROM w WHERE token IN ('not', 'nicht') OR starts_with(token, 'un') OR contains(text, 'xyz')), said AS (SELECT DISTINCT phrase_id, token FROM w WHERE phrase_id NOT IN (SELECT phrase_id FROM bad)),
+endings AS (SELECT * FROM (VALUES {", ".join(f"('{e}', {k})" for k, e in enumerate(_ENDINGS))}) AS v(ending, ord)),
+cut AS (SELECT token, substr(token, 1, length(token) - length(ending)) AS stem FROM (SELECT DISTINCT token FROM said) s JOIN endings ON ends_with(token, ending) AND length(token) - length(ending) >= 2 QUALIFY ROW_NUMBER() OVER (PARTITION BY token ORDER BY ord) = 1),
+known AS (SELECT * FROM cut UNION SELECT token, substr(stem, 1, length(stem) - length(tail)) || becomes FROM (SELECT * FROM cut UNION SELECT DISTINCT token, token FROM said WHERE length(token) >= 3) x JOIN (VALUES {", ".join(map(str, _CONTRACTED))}) AS c(tail, becomes) ON ends_with(stem, tail)),
+surfaces AS (SELECT lower(surface) AS surface, keyword_id FROM {_values(_STEM_SURFACES, "surface, keyword_id")})
+SELECT DISTINCT phrase_id, keyword_id FROM said JOIN known USING (token) JOIN surfaces ON contains(stem, surface) OR contains(surface, stem) WHERE length(stem) >= 2
+"""
 _CONCEPT_SQL = f"""
 WITH {_INPUT_SQL}, dated AS (SELECT review_id, ord, {_norm("word")} AS t, word, CASE grp WHEN 'PER' THEN 'DATE' ELSE upper(grp) END AS g FROM spans),
 kinds AS (SELECT *, CASE WHEN regexp_matches(word, '^[aeiou]') THEN 'Frequency' ELSE 'TemporalContext' END AS d, CASE WHEN g IN ('B-ING', 'ING') THEN 'Ingredient' WHEN g = 'CAT' THEN 'Category' END AS c FROM dated)
@@ -319,5 +341,6 @@ QUERIES = {
     "review_fact_rejects": (review_fact_rejects, _FACT_SQL + "SELECT review_id, edge_id, reason, subject_type, object_type FROM all_facts WHERE reason IS NOT NULL"),
     "review_signals": (review_signals, _SIGNAL_SQL),
     "review_keyword_facts": (review_keyword_facts, _KEYWORD_FACT_SQL),
+    "stem_keywords": (stem_keywords, _STEM_SQL),
     "mention_concepts": (mention_concepts, _CONCEPT_SQL),
 }
