@@ -21,7 +21,8 @@ def product_signals(signals: DataFrame, now: Column, dirty: DataFrame | None = N
     """Windowed aggregate of signals with the promotion gate. dirty: product ids to which the work is confined.
 
     A row counts in each window that holds its time; rows without a time count in `all` only. Catalog validation is left out.
-    Confidence is averaged in decimals, so that the order of the rows can't turn a rounding.
+    Confidence is summed in decimals, so that the order of the rows can't turn a rounding. Rows meet per review first, and each group keeps
+    its first `evidence` reviews only, so the reviews of a group are never gathered in one row.
     """
     rows = signals.filter(~F.col("signal_family").eqNullSafe("CATALOG_VALIDATION"))
     if dirty is not None:
@@ -33,13 +34,22 @@ def product_signals(signals: DataFrame, now: Column, dirty: DataFrame | None = N
         F.nullif("review_id", F.lit("")).alias("review_id"), (pol == "POS").cast("int").alias("pos"), (pol == "NEG").cast("int").alias("neg"), "source_confidence",
         (F.col("evidence_kind") == "BEE_SYNTHETIC").cast("int").alias("syn"), "window_ts", F.explode(F.filter(F.array(*inside), lambda x: x["in"])).alias("w"),
     ).select("*", "w.window_type", "w.decay")
-    n = F.count(F.lit(1))
-    out = rows.groupBy(*SIGNAL_KEY, "window_type").agg(
-        F.count_distinct("review_id").alias("distinct_review_count"), F.sum("pos").alias("pos_cnt"), F.sum("neg").alias("neg_cnt"),
+    key, n = [*SIGNAL_KEY, "window_type"], F.sum("n")
+    sure = F.col("source_confidence").cast("decimal(18,6)")
+    reviews = rows.groupBy(*key, "review_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum(sure).alias("sure"), F.count(sure).alias("n_sure"), F.sum("syn").alias("syn"),
+        F.max("window_ts").alias("window_ts"), F.max("decay").alias("decay"),
+    )
+    first = F.row_number().over(Window.partitionBy(*key).orderBy(F.asc_nulls_last("review_id")))
+    sample = reviews.select(*key, "review_id").withColumn("_r", first).where(F.col("_r") <= evidence).groupBy(*key).agg(F.array_sort(F.collect_list("review_id")).alias("evidence_sample"))
+    out = reviews.groupBy(*key).agg(
+        F.count("review_id").alias("distinct_review_count"), F.sum("pos").alias("pos_cnt"), F.sum("neg").alias("neg_cnt"),
         (n - F.sum("pos") - F.sum("neg")).alias("neu_cnt"), n.alias("support_count"), F.round((F.sum("pos") - F.sum("neg")) / n, 4).alias("score"),
-        F.coalesce(F.avg(F.col("source_confidence").cast("decimal(18,6)")).cast("double"), F.lit(0.0)).alias("conf"), F.round(F.coalesce(F.sum("syn"), F.lit(0)) / n, 4).alias("synthetic_ratio"),
-        F.max("window_ts").alias("last_seen_at"), F.max("decay").alias("decay"), F.slice(F.array_sort(F.collect_set("review_id")), 1, evidence).alias("evidence_sample"),
+        F.coalesce(F.sum("sure").cast("double") / F.sum("n_sure"), F.lit(0.0)).alias("conf"), F.round(F.coalesce(F.sum("syn"), F.lit(0)) / n, 4).alias("synthetic_ratio"),
+        F.max("window_ts").alias("last_seen_at"), F.max("decay").alias("decay"),
     )
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in key]
+    out = out.alias("a").join(sample.alias("b"), same, "left").select("a.*", "b.evidence_sample")
     out = out.withColumn("avg_confidence", F.round("conf", 4)).withColumn("corpus_weight", F.round(F.col("distinct_review_count") * F.col("conf") * F.col("decay"), 4))
     return out.withColumn("is_promoted", promoted()).drop("conf", "decay")
 

@@ -52,9 +52,16 @@ def readiness(products: DataFrame, users: DataFrame, manifests: DataFrame) -> Da
 
 
 def exclusion_counts(avoided: DataFrame, product_keys: DataFrame) -> DataFrame:
-    """(user_id, n_keys, n_products): what a user's avoided keys shut out. Products are counted per key before users are joined."""
-    per_key = product_keys.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    return avoided.select("user_id", "key").distinct().join(per_key, "key").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_keys"), F.sum("n").alias("n_products"))
+    """(user_id, n_keys, n_products): what a user's avoided keys shut out; keys that no product has don't count, and a product counts once.
+
+    Each distinct set of avoided keys is counted once and the users are attached at the end.
+    """
+    owned = product_keys.select("product_id", "key").distinct()
+    told = avoided.select("user_id", "key").distinct().join(owned.select("key").distinct(), "key", "left_semi")
+    sets = told.groupBy("user_id").agg(F.array_sort(F.collect_set("key")).alias("keys")).withColumn("shut", F.md5(F.to_json("keys").cast("binary")))
+    counts = sets.groupBy("shut").agg(F.first("keys").alias("keys")).select("shut", F.explode("keys").alias("key")).join(owned, "key")
+    counts = counts.groupBy("shut").agg(F.count_distinct("key").alias("n_keys"), F.count_distinct("product_id").alias("n_products"))
+    return sets.select("user_id", "shut").join(counts, "shut").select("user_id", "n_keys", "n_products")
 
 
 def beyond_axis(pairs: DataFrame, axis: str) -> DataFrame:
