@@ -63,8 +63,12 @@ def missing_rules(facts: DataFrame, rules: DataFrame) -> DataFrame:
     return facts.select(*key).distinct().join(rules.select(*key).distinct(), key, "left_anti")
 
 
+def sides(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """(key, side): where each id is, in both, left only or right only."""
+    both = left.select(key, F.lit(1).alias("l")).distinct().join(right.select(key, F.lit(1).alias("r")).distinct(), key, "full_outer")
+    return both.select(key, F.when(F.col("r").isNull(), "left_only").when(F.col("l").isNull(), "right_only").otherwise("both").alias("side"))
+
+
 def compare_sets(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Counts of ids in both, left only and right only."""
-    both = left.select(key, F.lit(1).alias("l")).distinct().join(right.select(key, F.lit(1).alias("r")).distinct(), key, "full_outer")
-    where = F.when(F.col("r").isNull(), "left_only").when(F.col("l").isNull(), "right_only").otherwise("both")
-    return both.groupBy(where.alias("side")).agg(F.count(F.lit(1)).alias("n"))
+    return sides(left, right, key).groupBy("side").agg(F.count(F.lit(1)).alias("n"))

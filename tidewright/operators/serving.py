@@ -99,10 +99,15 @@ def labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     return nodes.join(labels, "node_id", "left").withColumn("label", F.coalesce("label", F.element_at(F.split("node_id", ":"), -1)))
 
 
-def purchase_hygiene(events: DataFrame) -> DataFrame:
-    """(outcome, n) of purchase events: no product, no positive quantity, no date, or kept, the first that applies."""
+def purchase_outcomes(events: DataFrame) -> DataFrame:
+    """events with outcome: no product, no positive quantity, no date, or kept, the first that applies. The rows to load are those kept."""
     outcome = F.when(F.coalesce("product_id", F.lit("")) == "", "no_product").when(~F.coalesce(F.col("quantity") > 0, F.lit(False)), "bad_quantity").when(F.col("purchased_at").isNull(), "no_date").otherwise("kept")
-    return events.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    return events.withColumn("outcome", outcome)
+
+
+def purchase_hygiene(events: DataFrame) -> DataFrame:
+    """(outcome, n) of `purchase_outcomes`."""
+    return purchase_outcomes(events).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
 def inside(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
@@ -140,6 +145,14 @@ def joinability(rows: DataFrame, code: str, pattern: str) -> DataFrame:
     return rows.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def joined_codes(rows: DataFrame, code: str, catalog: DataFrame, catalog_code: str) -> DataFrame:
+    """rows with state: the code is missing, is in the catalog, or is not. Outer space does not count; missing codes take no part in the join."""
+    known = catalog.select(F.trim(catalog_code).alias("_code")).where("_code <> ''").distinct().withColumn("_known", F.lit(True))
+    out = rows.withColumn("_asked", F.nullif(F.trim(code), F.lit("")))
+    out = out.join(known, F.col("_asked") == F.col("_code"), "left")
+    return out.withColumn("state", F.when(F.col("_asked").isNull(), "missing").when(F.col("_known"), "joinable").otherwise("not_joinable")).drop("_asked", "_code", "_known")
+
+
 def pinned_first(rows: DataFrame, n: int) -> DataFrame:
     """(user_id, product_id, place): pinned products by their own order, then the others by score; the first n of a user."""
     order = Window.partitionBy("user_id").orderBy(F.desc("pinned"), F.when(F.col("pinned"), F.col("ord")), F.desc("score"), "product_id")
@@ -167,6 +180,11 @@ def weighted(features: DataFrame, presets: DataFrame) -> DataFrame:
     return features.join(F.broadcast(presets), "feature").groupBy("preset", "user_id", "product_id").agg(F.sum(F.col("value") * F.col("weight")).alias("score"))  # presets: a few rows
 
 
+def held_rows(rows: DataFrame, watermark: Column) -> DataFrame:
+    """Rows that came after the watermark had passed them; they are held and mark their product as dirty."""
+    return rows.filter(F.col("window_ts") < watermark)
+
+
 def late_rows(rows: DataFrame, watermark: Column) -> DataFrame:
-    """(target_product_id, n_late): rows that came after the watermark had passed them; they are held and mark their product as dirty."""
-    return rows.filter(F.col("window_ts") < watermark).groupBy("target_product_id").agg(F.count(F.lit(1)).alias("n_late"))
+    """(target_product_id, n_late) of the held rows."""
+    return held_rows(rows, watermark).groupBy("target_product_id").agg(F.count(F.lit(1)).alias("n_late"))

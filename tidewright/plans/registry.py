@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.plans import contract_queries, core_queries, graph_queries, loading_queries, more_queries, neighbourhood_queries, reading_queries, recommend_queries
+from tidewright.plans import contract_queries, core_queries, graph_queries, loading_queries, more_queries, neighbourhood_queries, reading_queries, recommend_queries, row_queries
 from tidewright.plans.tables import duck
 
 Query = Callable[[SparkSession, str], DataFrame]
-_ALL = {**core_queries.QUERIES, **more_queries.QUERIES, **contract_queries.QUERIES, **graph_queries.QUERIES, **recommend_queries.QUERIES, **loading_queries.QUERIES, **neighbourhood_queries.QUERIES, **reading_queries.QUERIES}
+_ALL = {**core_queries.QUERIES, **more_queries.QUERIES, **contract_queries.QUERIES, **graph_queries.QUERIES, **recommend_queries.QUERIES, **loading_queries.QUERIES, **neighbourhood_queries.QUERIES, **reading_queries.QUERIES, **row_queries.QUERIES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
