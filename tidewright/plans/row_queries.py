@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewright.operators import aggregate as A
 from tidewright.operators import evaluate as E
 from tidewright.operators import facts as K
 from tidewright.operators import incremental as I
+from tidewright.operators import linking as L
 from tidewright.operators import normalize as N
+from tidewright.operators import profiles as P
 from tidewright.operators import quality as Q
 from tidewright.operators import recommend as R
 from tidewright.operators import serving as V
@@ -111,3 +114,25 @@ def shadow_rows(spark, d):
 @query(f"""SELECT l_orderkey, l_linenumber, target_product_id FROM ({_LATE}) t WHERE window_ts < {T.NOW} - INTERVAL 1500 DAY""")
 def held_late_rows(spark, d):
     return V.held_rows(T.from_sql(spark, d, _LATE), F.expr(T.NOW) - F.make_dt_interval(F.lit(1500))).select("l_orderkey", "l_linenumber", "target_product_id")
+
+
+_PREFERRED = f"""SELECT user_id, edge_type, dst_id, scope, round(max(coalesce(confidence, 1)) * least(count(*) / 3, 1.5) * exp(-0.01 * greatest(datediff('day', CAST(max(last_seen_at) AS DATE), DATE '2001-11-05'), 0))
+  * max(CASE source WHEN 'purchase' THEN 1.2 ELSE 0.8 END::DOUBLE), 4) AS weight FROM ({T.PREFERENCES}) GROUP BY 1, 2, 3, 4"""
+_SOLD = "SELECT c_custkey AS product_id, 'x' || CAST(c_custkey % 400 AS STRING) AS source_id, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE '2-HIGH' END AS category FROM customer"
+_TOLD = "SELECT o_orderkey AS doc_id, 'x' || CAST(o_custkey % 390 AS STRING) AS source_id, CASE o_orderpriority WHEN '5-LOW' THEN NULL ELSE o_orderpriority END AS category, o_orderdate AS updated_at, o_custkey AS review_count FROM orders"
+
+
+@query(f"""SELECT user_id, edge_type, dst_id, weight, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY user_id, edge_type ORDER BY weight DESC, dst_id) AS place
+  FROM (SELECT user_id, edge_type, dst_id, max(weight) AS weight FROM ({_PREFERRED}) p WHERE user_id IN (SELECT c_custkey FROM customer) GROUP BY 1, 2, 3) b) t WHERE place <= 5""")
+def profile_preference_rows(spark, d):
+    prefs = A.user_preferences(T.from_sql(spark, d, T.PREFERENCES), F.to_date(F.expr(T.NOW)))
+    users = P.user_profiles(T.from_sql(spark, d, "SELECT c_custkey AS user_id FROM customer"), prefs, ["PREFERS", "AVOIDS"], 5)
+    one = lambda e: users.select("user_id", F.lit(e).alias("edge_type"), F.posexplode(e.lower()).alias("place", "x"))
+    return one("PREFERS").union(one("AVOIDS")).select("user_id", "edge_type", "x.id", "x.weight", (F.col("place") + 1).alias("place")).withColumnRenamed("id", "dst_id")
+
+
+@query(f"""SELECT product_id, COALESCE(arg_max(doc_id, (updated_at, review_count, doc_id)) FILTER (fits), -1) AS doc_id, CASE WHEN COUNT(doc_id) = 0 THEN 'not_found' WHEN COUNT(*) FILTER (fits) = 0 THEN 'wrong_category'
+  WHEN COUNT(*) FILTER (fits) > 1 THEN 'ambiguous' ELSE 'found' END AS status
+  FROM (SELECT p.product_id, m.*, m.doc_id IS NOT NULL AND m.category IS NOT DISTINCT FROM p.category AS fits FROM ({_SOLD}) p LEFT JOIN ({_TOLD}) m ON p.source_id = m.source_id) t GROUP BY product_id""")
+def chosen_document_rows(spark, d):
+    return L.choose_document(T.from_sql(spark, d, _SOLD), T.from_sql(spark, d, _TOLD)).fillna(-1, ["doc_id"])
