@@ -262,6 +262,30 @@ def test_line_dedup_recall(spark):
     assert len(alike) > 150 and len(gone & set(alike)) >= 0.9 * len(alike) and gone <= set(range(1, 480, 2)), (len(alike), len(gone & set(alike)))
 
 
+def test_line_dedup_compares_few_pairs(spark, monkeypatch):
+    """Two families that share blocks, of lengths too far apart to be alike: pairs grow with the lines, not with the product of the families."""
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(5, 9)))
+    base, lines = [word() for _ in range(60)], []
+    for k in range(160):
+        copy = base[: 60 if k % 2 else 44]
+        for _ in range(3):
+            copy[rng.randrange(len(copy))] = word()
+        lines.append(" ".join(copy))
+    counts, real = [], line_dedup.written
+
+    def counted(df):
+        out = real(df)
+        if df.columns == ["h1", "h2"]:
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "written", counted)
+    gone = {r.doc_id for r in line_dedup.duplicate_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    assert gone == set(range(2, 160)) and 0 < sum(counts) < 12 * 160, (sorted(set(range(2, 160)) ^ gone), counts)
+    assert line_dedup._distance("kitten", "sitting", 3) == 3 and line_dedup._distance("a" * 90, "b" * 90, 20) == 21
+
+
 def test_merge_transforms():
     rng = random.Random(5)
     strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(10, 60))) for _ in range(30)]
