@@ -45,3 +45,13 @@ def test_pairs_of_equal_items_are_not_shuffled(spark):
     assert {(r.a, r.b): (r.score, r.n_shared) for r in df.collect()} == brute_pairs(rows)
     plan = plan_of(df)
     assert "Exchange" not in plan[: plan.index("Generate")] and "HashAggregate" not in plan[: plan.index("Generate")]
+
+
+def test_gated_pairs_stay_inside_groups(spark):
+    rows, nodes = copied_items(spark)
+    of = {f"i{k:02d}": f"g{k % 3}" for k in range(40)}
+    groups = spark.createDataFrame([(i, g) for i, g in of.items()] * 2, "item string, grp string")  # repeated rows count once
+    df = S.shared_nodes(nodes, 2.0, groups)
+    assert {(r.a, r.b): (r.score, r.n_shared) for r in df.collect()} == {k: v for k, v in brute_pairs(rows, of).items() if v[0] >= 2.0}
+    plan = plan_of(df)
+    assert "Exchange" not in plan[: plan.index("Generate")]
