@@ -55,3 +55,18 @@ def test_gated_pairs_stay_inside_groups(spark):
     assert {(r.a, r.b): (r.score, r.n_shared) for r in df.collect()} == {k: v for k, v in brute_pairs(rows, of).items() if v[0] >= 2.0}
     plan = plan_of(df)
     assert "Exchange" not in plan[: plan.index("Generate")]
+
+
+def brute_near(rows, n):
+    pairs, out = brute_pairs(rows), defaultdict(list)
+    for (a, b), (s, _) in pairs.items():
+        out[a].append((-s, b))
+        out[b].append((-s, a))
+    return {(a, b): (-s, k) for a, x in out.items() for k, (s, b) in enumerate(sorted(x)[:n], 1)}
+
+
+def test_nearest_of_equal_items(spark):
+    rows, nodes = copied_items(spark)
+    for n in (2, 10):
+        df = S.nearest(nodes, n)
+        assert {(r.a, r.b): (r.score, r["rank"]) for r in df.collect()} == brute_near(rows, n)
