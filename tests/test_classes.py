@@ -70,3 +70,11 @@ def test_nearest_of_equal_items(spark):
     for n in (2, 10):
         df = S.nearest(nodes, n)
         assert {(r.a, r.b): (r.score, r["rank"]) for r in df.collect()} == brute_near(rows, n)
+
+
+def test_attached_neighbours_of_equal_items(spark):
+    rows, nodes = copied_items(spark)
+    items = spark.createDataFrame([(f"i{k:02d}",) for k in range(41)], "product_id string")
+    got = {r.product_id: [x.id for x in r.similar] for r in S.attach_neighbours(items, S.nearest(nodes, 3), "product_id", "similar").collect()}
+    want = brute_near(rows, 3)
+    assert got == {f"i{k:02d}": [b for _, b in sorted((n, b) for (a, b), (_, n) in want.items() if a == f"i{k:02d}")] for k in range(41)}
