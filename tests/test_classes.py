@@ -78,3 +78,17 @@ def test_attached_neighbours_of_equal_items(spark):
     got = {r.product_id: [x.id for x in r.similar] for r in S.attach_neighbours(items, S.nearest(nodes, 3), "product_id", "similar").collect()}
     want = brute_near(rows, 3)
     assert got == {f"i{k:02d}": [b for _, b in sorted((n, b) for (a, b), (_, n) in want.items() if a == f"i{k:02d}")] for k in range(41)}
+
+
+def test_related_of_equal_items(spark):
+    rows, nodes = copied_items(spark)
+    anchors = spark.createDataFrame([("q", "i01"), ("q", "i09"), ("r", "i02")], "query_id string, product_id string")
+    want, near = {}, brute_near(rows, 10)
+    for q, own in (("q", {"i01", "i09"}), ("r", {"i02"})):
+        best = defaultdict(float)
+        for (a, b), (s, _) in near.items():
+            if a in own and b not in own:
+                best[b] = max(best[b], s)
+        want |= {(q, b): (s, k) for k, (s, b) in enumerate(sorted(((s, b) for b, s in best.items()), key=lambda x: (-x[0], x[1]))[:5], 1)}
+    got = {(r.query_id, r.product_id): (r.score, r["rank"]) for r in S.related(anchors, S.nearest(nodes, 10), n=5).collect()}
+    assert got == want
