@@ -14,7 +14,7 @@ def plan_of(df) -> str:
     out = io.StringIO()
     with contextlib.redirect_stdout(out):
         df.explain()
-    return out.getvalue()
+    return out.getvalue().split("Initial Plan")[0]
 
 
 def copied_items(spark):
@@ -92,3 +92,17 @@ def test_related_of_equal_items(spark):
         want |= {(q, b): (s, k) for k, (s, b) in enumerate(sorted(((s, b) for b, s in best.items()), key=lambda x: (-x[0], x[1]))[:5], 1)}
     got = {(r.query_id, r.product_id): (r.score, r["rank"]) for r in S.related(anchors, S.nearest(nodes, 10), n=5).collect()}
     assert got == want
+
+
+def test_owned_boost_of_equal_items(spark):
+    rows, nodes = copied_items(spark)
+    owned = [(u, f"i{(u * 7 + k * 5) % 44:02d}") for u in range(12) for k in range(u % 5)]
+    near, want = brute_near(rows, 3), {}
+    for u, i in owned:
+        for (a, b), (s, _) in near.items():
+            if a == i and (u, b) not in owned:
+                want[u, b] = max(want.get((u, b), 0), round(min(s / 30, 1.0), 4))
+    df = S.owned_boost_near(spark.createDataFrame(owned * 2, "user_id int, product_id string"), nodes, 3)
+    assert {(r.user_id, r.product_id): r.boost for r in df.collect()} == want
+    plan = plan_of(df)
+    assert plan.count("Exchange hashpartitioning") == 1  # the owned products; neither their neighbours nor what is left of them
