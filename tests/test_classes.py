@@ -106,3 +106,36 @@ def test_owned_boost_of_equal_items(spark):
     assert {(r.user_id, r.product_id): r.boost for r in df.collect()} == want
     plan = plan_of(df)
     assert plan.count("Exchange hashpartitioning") == 1  # the owned products; neither their neighbours nor what is left of them
+
+
+def offers(spark):
+    """Users' wants and products of which several have the same keys and attributes, and what the users own."""
+    from tidewright.operators import recommend as R
+
+    wants = [(u, a, f"{a[0]}{(u * 5 + k * 3) % 7}", 0.25 * (1 + (u + k) % 4)) for u in range(9) for k, a in enumerate(["keyword", "category", "similar", "keyword"]) if (u + k) % 5]
+    has = [(f"p{p:02d}", a, f"{a[0]}{(p % 6) * j % 7}") for p in range(36) for j, a in enumerate(["keyword", "category", "similar"], 1)]
+    shop = [(f"p{p:02d}", f"b{p % 3}", f"c{p % 2}", p % 3 * 5, p % 6 * 9, 3.5 + p % 2) for p in range(36)]
+    own = [(u, f"p{p:02d}", f"b{p % 3}") for u in range(9) for p in range(36) if (u * 11 + p * 7) % 23 < u % 4]
+    users = spark.createDataFrame(wants, "user_id int, axis string, key string, strength double")
+    keys = spark.createDataFrame(has, "product_id string, axis string, key string")
+    products = spark.createDataFrame(shop, "product_id string, brand_id string, category_id string, review_count_30d int, review_count_all int, rating double")
+    return R, users, keys, products, spark.createDataFrame(own, "user_id int, product_id string, brand_id string")
+
+
+def same(a, b, least=21):
+    key = lambda df: sorted(map(tuple, df.select(*a.columns).collect()))
+    assert key(a) == key(b) and a.count() >= least
+
+
+def exchanges_after_users(df) -> str:
+    """The plan above the part where the users' rows are dealt."""
+    plan = plan_of(df)
+    return plan[: plan.index("REPARTITION_BY_NUM")]
+
+
+def test_overlaps_by_classes(spark):
+    R, users, keys, _, _ = offers(spark)
+    classes = R.product_classes(keys)
+    found = R.of_products(R.class_overlaps(users, classes), classes)
+    same(R.overlaps(users, keys), found)
+    assert "Exchange hashpartitioning" not in exchanges_after_users(found)[:-60]
