@@ -139,3 +139,11 @@ def test_overlaps_by_classes(spark):
     found = R.of_products(R.class_overlaps(users, classes), classes)
     same(R.overlaps(users, keys), found)
     assert "Exchange hashpartitioning" not in exchanges_after_users(found)[:-60]
+
+
+def test_scores_by_classes(spark):
+    R, users, keys, products, own = offers(spark)
+    classes = R.product_classes(keys, products)
+    assert classes.info.count() < 36
+    found = R.scores_of_products(R.score_classes(R.class_overlaps(users, classes), classes, own), classes)
+    same(found, R.score(R.overlaps(users, keys), products, own))
