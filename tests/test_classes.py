@@ -147,3 +147,12 @@ def test_scores_by_classes(spark):
     assert classes.info.count() < 36
     found = R.scores_of_products(R.score_classes(R.class_overlaps(users, classes), classes, own), classes)
     same(found, R.score(R.overlaps(users, keys), products, own))
+
+
+def test_reranked_by_classes(spark):
+    R, users, keys, products, own = offers(spark)
+    classes = R.product_classes(keys, products)
+    for n in (2, 10):
+        first = R.first_scores(R.class_overlaps(users, classes), classes, own, 2 * n)
+        same(R.rerank(first, n), R.rerank(R.score(R.overlaps(users, keys), products, own), n), 9)
+        assert first.count() < R.score(R.overlaps(users, keys), products, own).count() or n == 10
