@@ -172,3 +172,11 @@ def test_eligible_by_classes(spark):
     found = R.of_products(R.eligible(R.class_overlaps(users, classes)), classes)
     same(R.eligible(R.overlaps(users, keys)), found)
     assert "Exchange hashpartitioning" not in exchanges_after_users(found)[:-60]
+
+
+def test_retrieved_by_classes(spark):
+    R, users, keys, _, own = offers(spark)
+    classes = R.product_classes(keys)
+    for n in (1, 4):
+        found = R.retrieve_classes(R.eligible(R.class_overlaps(users, classes)), classes, own, n)
+        same(R.retrieve(R.eligible(R.overlaps(users, keys)), own, n), found, 5)
