@@ -180,3 +180,15 @@ def test_retrieved_by_classes(spark):
     for n in (1, 4):
         found = R.retrieve_classes(R.eligible(R.class_overlaps(users, classes)), classes, own, n)
         same(R.retrieve(R.eligible(R.overlaps(users, keys)), own, n), found, 5)
+
+
+def test_exclusions_meet_classes_of_products(spark):
+    from tidewright.operators import serving as V
+
+    avoided = spark.createDataFrame([(u, f"k{k}") for u in range(6) for k in range(9) if (u + k) % 3], "user_id int, key string")
+    has = {p: {f"k{p % 4}", f"k{p % 3 + 4}"} for p in range(60)}
+    keys = spark.createDataFrame([(f"p{p}", k) for p, ks in has.items() for k in ks], "product_id string, key string")
+    df = V.exclusion_counts(avoided, keys)
+    shut = {u: {f"k{k}" for k in range(9) if (u + k) % 3} & set().union(*has.values()) for u in range(6)}
+    assert {r.user_id: (r.n_keys, r.n_products) for r in df.collect()} == {u: (len(s), sum(bool(s & ks) for ks in has.values())) for u, s in shut.items()}
+    assert "product_id" not in plan_of(df)

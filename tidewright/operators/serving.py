@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.sources.scratch import saved
+
 
 def evidence_in_window(promoted: DataFrame, signals: DataFrame, now: Column) -> DataFrame:
     """Promoted aggregates with the signals behind them that lie in their window. promoted: target_product_id, edge_type, dst_id, days."""
@@ -54,13 +56,17 @@ def readiness(products: DataFrame, users: DataFrame, manifests: DataFrame) -> Da
 def exclusion_counts(avoided: DataFrame, product_keys: DataFrame) -> DataFrame:
     """(user_id, n_keys, n_products): what a user's avoided keys shut out; keys that no product has don't count, and a product counts once.
 
-    Each distinct set of avoided keys is counted once and the users are attached at the end.
+    Each distinct set of avoided keys is counted once and the users are attached at the end. Products with the same keys are one class with its
+    size, so that a set meets classes and never the products themselves.
     """
-    owned = product_keys.select("product_id", "key").distinct()
-    told = avoided.select("user_id", "key").distinct().join(owned.select("key").distinct(), "key", "left_semi")
+    owned = product_keys.select("product_id", "key").where("product_id IS NOT NULL AND key IS NOT NULL").distinct()
+    classes = saved(owned.groupBy("product_id").agg(F.array_sort(F.collect_set("key")).alias("held")).groupBy("held").agg(F.count(F.lit(1)).alias("size")).withColumn("cls", F.md5(F.to_json("held").cast("binary"))))
+    keys = classes.select("cls", "size", F.explode("held").alias("key"))
+    told = avoided.select("user_id", "key").distinct().join(keys.select("key").distinct(), "key", "left_semi")
     sets = told.groupBy("user_id").agg(F.array_sort(F.collect_set("key")).alias("keys")).withColumn("shut", F.md5(F.to_json("keys").cast("binary")))
-    counts = sets.groupBy("shut").agg(F.first("keys").alias("keys")).select("shut", F.explode("keys").alias("key")).join(owned, "key")
-    counts = counts.groupBy("shut").agg(F.count_distinct("key").alias("n_keys"), F.count_distinct("product_id").alias("n_products"))
+    sets = saved(sets)
+    met = sets.groupBy("shut").agg(F.first("keys").alias("keys")).select("shut", F.size("keys").cast("long").alias("n_keys"), F.explode("keys").alias("key")).join(keys, "key")
+    counts = met.groupBy("shut", "cls").agg(F.max("n_keys").alias("n_keys"), F.max("size").alias("size")).groupBy("shut").agg(F.max("n_keys").alias("n_keys"), F.sum("size").alias("n_products"))
     return sets.select("user_id", "shut").join(counts, "shut").select("user_id", "n_keys", "n_products")
 
 
