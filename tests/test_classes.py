@@ -192,3 +192,14 @@ def test_exclusions_meet_classes_of_products(spark):
     shut = {u: {f"k{k}" for k in range(9) if (u + k) % 3} & set().union(*has.values()) for u in range(6)}
     assert {r.user_id: (r.n_keys, r.n_products) for r in df.collect()} == {u: (len(s), sum(bool(s & ks) for ks in has.values())) for u, s in shut.items()}
     assert "product_id" not in plan_of(df)
+
+
+def test_stretches_of_texts_go_into_no_exchange(spark):
+    from tidewright.operators import search
+
+    texts, words = [f"show red bolt {k:06d} of brand#{k % 9}" for k in range(40)], [f"red bolt {k:06d}" for k in range(60)] + ["brand#1", "w", "red bolt 0000"]
+    df = search.contained(spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([(w,) for w in words], "word string"), 16)
+    assert {tuple(r) for r in df.collect()} == {(t, w) for t in texts for w in words if w in t}
+    plan = plan_of(df)
+    below = plan[plan.index("Join") :]
+    assert "BroadcastHashJoin" in plan and "_at" not in " ".join(x for x in below.splitlines() if "Exchange hashpartitioning" in x)
