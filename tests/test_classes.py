@@ -203,3 +203,18 @@ def test_stretches_of_texts_go_into_no_exchange(spark):
     plan = plan_of(df)
     below = plan[plan.index("Join") :]
     assert "BroadcastHashJoin" in plan and "_at" not in " ".join(x for x in below.splitlines() if "Exchange hashpartitioning" in x)
+
+
+def test_ingredients_are_found_once(spark):
+    from tidewright.operators import query_reading as Q
+
+    products = spark.createDataFrame([("1", "red bolt 000001", "b#1", "tools", "g")], "product_id string, name string, brand string, category string, group string")
+    words = spark.createDataFrame([("salt", "s1"), ("sugar", "s2")], "surface string, ingredient string")
+    catalog = Q.Catalog(products, spark.createDataFrame([("1", "s1"), ("1", "s1")], "product_id string, ingredient string"), words, spark.createDataFrame([], "surface string, group string, whole boolean"))
+    assert catalog.words() is catalog.words() and catalog.held is catalog.held
+    asks = spark.createDataFrame([(1, "Salt and  red bolt 000001 oddly")], "query_id int, text string")
+    spans = Q.negation_spans(asks, ["aside"], ["free"], ["not"])
+    gone = Q.exclusions(spans, catalog)
+    found, stand = Q.readings(asks, catalog, gone)
+    assert {(r.axis, r.key) for r in stand.collect()} == {("product", "red bolt 000001"), ("ingredient", "s1")}
+    assert {r.word for r in Q.unread(asks, found, stand, spans, gone, []).collect()} == {"and", "oddly"}
